@@ -26,20 +26,22 @@ unseen and the class factor is flat.
 
 from __future__ import annotations
 
+import base64
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, fresh_path, held_out, written
-from .token_table import WordEncoder, pieces
+from .token_table import WordEncoder, kept_encoder, pieces, split_words
 
 WINDOW, STRIDE = 32, 24
 WIDTH, CLASSES, SINGLE, BUCKETS = 16, 128, 80, 1024
@@ -53,7 +55,7 @@ SEED = 42
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 class Speller(WordEncoder):
@@ -61,9 +63,31 @@ class Speller(WordEncoder):
 
     def __init__(self, path: str, common: tuple[np.ndarray, np.ndarray] | None = None, limit: int = 400_000):
         self.common = common
-        super().__init__(path, limit, prefix=" ", plain=True)
-        self.end = 2 * self.tokenizer.token_to_id("<|endoftext|>") + 1
-        self.n_symbols = 2 * self.tokenizer.get_vocab_size()
+        super().__init__(path, limit)
+        self.end, self.n_symbols = 2 * self.vocabulary + 1, 2 * self.vocabulary + 2
+
+    def load(self, path: str) -> None:
+        """``path``: a file of ranks, one base64 piece and its number a line."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.vocabulary = max(self.ranks.values()) + 1
+        self.begins = np.zeros(self.vocabulary, bool)
+        self.begins[[i for piece, i in self.ranks.items() if piece.startswith(b" ")]] = True
+
+    def spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word with a space before it. All go in one string; pieces that begin with a space part the words."""
+        text = b" " + b" ".join(words)
+        ids = np.array(self.encoding.encode_ordinary(text.decode("utf-8", "replace")), self.dtype)
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) == len(words) and first[0] == 0:
+            return ids, np.diff(np.concatenate((first, [len(ids)])))
+        found = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]  # rare white space inside words
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes
 
     def clear(self) -> None:
         super().clear()
@@ -77,6 +101,9 @@ class Speller(WordEncoder):
             c = np.where(self.common[0][at] == h, self.common[1][at], -1)
         self.hashes, self.counts = np.concatenate((self.hashes, h)), np.concatenate((self.counts, c))
 
+    def shrunk(self, keep: np.ndarray) -> None:
+        self.hashes, self.counts = self.hashes[keep], self.counts[keep]
+
     def spell(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words, one after the other, and the end of each word."""
         sizes = self.sizes[code]
@@ -86,44 +113,22 @@ class Speller(WordEncoder):
         return symbols, ends
 
 
-_KEPT: dict = {}
-
-
 def _speller(path: str, key=None, common=None) -> Speller:
-    """One table of words for each Python worker, kept between tasks."""
-    if _KEPT.get("key") != (path, key):
-        _KEPT.clear()
-        _KEPT.update(key=(path, key), speller=Speller(path, common))
-    return _KEPT["speller"]
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+    return kept_encoder(lambda: Speller(path, common), (path, key))
 
 
 # ---- counts ------------------------------------------------------------------------------------------------------------
 
 
-def word_counts(training: DataFrame, most: int = 400_000) -> DataFrame:
-    """``(w, c)`` over rows ``(text)``; the empty word stands for ends."""
+def word_counts(training: DataFrame) -> DataFrame:
+    """``(w, c)`` over rows ``(text)``; the empty word stands for ends. Counted in runs of rows, then combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
-            counts.clear()
-            return made
-
         for whole in batches:
-            for batch in pieces(whole) if whole.num_rows else ():
-                for text in as_bytes(batch.column("text")):
-                    counts.update(words_of(text))
-                counts[b""] += batch.num_rows
-                if len(counts) > most:
-                    yield out()
-        if counts:
-            yield out()
+            for batch in pieces(whole, 16 << 20) if whole.num_rows else ():
+                counts = pc.value_counts(split_words(batch.column("text"), lower=True)[0])
+                yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], ["w", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([batch.num_rows], pa.int64())], ["w", "c"])
 
     return training.select("text").mapInArrow(run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -132,7 +137,7 @@ def symbol_counts(counts: DataFrame, path: str) -> DataFrame:
     """``(symbol, n)`` over all training tokens, from the distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(path, limit=0)
+        speller = Speller(path)
         total = np.zeros(speller.n_symbols, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 50_000):
@@ -140,6 +145,7 @@ def symbol_counts(counts: DataFrame, path: str) -> DataFrame:
                 words, c = as_bytes(batch.column("w")), batch.column("c").to_numpy()
                 real = np.fromiter(map(len, words), np.int64, len(words)) > 0
                 total[speller.end] += int(c[~real].sum())
+                speller.clear()  # no word comes twice
                 code = speller.lookup([w for w in words if w])
                 if len(code):
                     symbols, _ = speller.spell(code)
@@ -157,20 +163,21 @@ def windows(training: DataFrame, path: str, every: int = EVERY) -> DataFrame:
         speller = _speller(path)
         for whole in batches:
             for batch in pieces(whole) if whole.num_rows else ():
-                taken: list[list[bytes]] = []
-                first: list[bool] = []
-                last: list[bool] = []
-                for text in as_bytes(batch.column("text")):
-                    words = words_of(text)
+                words, n_words = split_words(batch.column("text"), lower=True)
+                taken, first, last = [], [], []
+                for text, n, before in zip(as_bytes(batch.column("text")), n_words.tolist(), (np.cumsum(n_words) - n_words).tolist()):
                     rng = np.random.default_rng(xxhash.xxh64_intdigest(text, SEED))
-                    for at in rng.integers(-WINDOW, len(words), int((len(words) + WINDOW) / every + rng.random())).tolist():
+                    for at in rng.integers(-WINDOW, n, int((n + WINDOW) / every + rng.random())).tolist():
                         at = max(at, 0)
-                        taken.append(words[at : at + WINDOW])
+                        taken.append((before + at, before + min(at + WINDOW, n)))
                         first.append(at == 0)
-                        last.append(at + WINDOW >= len(words))
-                code = speller.lookup([w for t in taken for w in t])
-                symbols, ends = speller.spell(code)
-                bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(t) for t in taken], dtype=np.int64)))]
+                        last.append(at + WINDOW >= n)
+                at = np.array(taken, np.int64).reshape(-1, 2)
+                sizes = at[:, 1] - at[:, 0]
+                ends = np.cumsum(sizes)
+                code = speller.numbers(words.take(pa.array(np.repeat(at[:, 0] - ends + sizes, sizes) + np.arange(int(sizes.sum())))))
+                symbols, word_ends = speller.spell(code)
+                bounds = np.concatenate(([0], word_ends))[np.concatenate(([0], ends))]
                 rows = []
                 for k in range(len(taken)):
                     s = symbols[bounds[k] : bounds[k + 1]].tolist()
@@ -367,14 +374,21 @@ def fit(sample: DataFrame, classes: np.ndarray, buckets: np.ndarray, skip: np.nd
     return w
 
 
+_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
+
+
 class Scorer:
     """Log probabilities of symbols, batched over windows of many texts."""
 
-    def __init__(self, w: dict, skip: np.ndarray, classes: np.ndarray, buckets: np.ndarray, inside: np.ndarray, chunk: int = 512):
+    def __init__(self, w: dict, skip: np.ndarray, classes: np.ndarray, buckets: np.ndarray, inside: np.ndarray, chunk: int = 128):
         scale = np.float32(1 / math.sqrt(WIDTH))
         self.q, self.k, self.v = w["E"] @ w["Wq"] * scale, w["E"] @ w["Wk"], w["E"] @ w["Wv"]
         self.skip, self.out, self.bias = (skip + w["b"]).astype(np.float32), w["Wo"], _biases(w)
         self.classes, self.buckets, self.inside, self.chunk = classes, buckets, inside, chunk
+        # no exponent can overflow or vanish as a whole: then there's no need to take the largest off
+        length = lambda x: float(np.linalg.norm(x, axis=-1).max())
+        reach = length(self.q) * length(self.k) + float(np.abs(w["r"]).max())
+        self.bounded = reach < 40 and float(np.abs(self.skip).max()) + length(self.v) * length(self.out.T) < 60
 
     def _windows(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, skip: int, out: np.ndarray) -> None:
         """Score places ``skip`` and on of the windows that begin at ``starts``, up to ``ends`` (exclusive, of inputs)."""
@@ -384,16 +398,26 @@ class Scorer:
             inp = self.buckets[symbols[np.minimum(at, e - 1)]]
             s = self.q[inp[:, skip:]] @ self.k[inp].transpose(0, 2, 1)
             s += self.bias[skip:]
-            s -= s.max(-1, keepdims=True)
+            if not self.bounded:
+                s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
-            s /= s.sum(-1, keepdims=True)
-            real = at[:, skip:] < e
-            z = (s @ self.v[inp])[real] @ self.out
-            z += self.skip[inp[:, skip:][real]]
-            goal = at[:, skip:][real] + 1
+            gathered = s @ self.v[inp]
+            gathered /= (s @ _ONES[:WINDOW])[..., None]
+            at, inp = at[:, skip:], inp[:, skip:]
+            real = at < e
+            if real.all():
+                gathered, inp, goal = gathered.reshape(-1, WIDTH), inp.ravel(), at.ravel() + 1
+            else:
+                gathered, inp, goal = gathered[real], inp[real], at[real] + 1
+            z = gathered @ self.out
+            z += self.skip[inp]
             hit = z[np.arange(len(z)), self.classes[symbols[goal]]]
+            if not self.bounded:
+                top = z.max(1)
+                z -= top[:, None]
+                hit -= top
             np.exp(z, out=z)
-            out[goal] = hit - np.log(z.sum(1))
+            out[goal] = hit - np.log(z @ _ONES[:CLASSES])
 
     def __call__(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural logs for each symbol; texts are ``symbols[bounds[i]:bounds[i + 1]]``, and the first of each is given."""
@@ -422,9 +446,8 @@ def learn(training: DataFrame, path: str | None = None) -> dict:
     for x in symbol_counts(counts, path).collect():  # at most one row a symbol of the vocabulary
         per[x["symbol"]] = x["n"]
     kinds = np.zeros(len(per), np.int32)
-    for token, i in speller.tokenizer.get_vocab().items():
-        kinds[2 * i] = 2 * token.startswith("Ġ")
-        kinds[2 * i + 1] = kinds[2 * i] + 1
+    kinds[: 2 * speller.vocabulary : 2] = 2 * speller.begins
+    kinds[1 : 2 * speller.vocabulary : 2] = 2 * speller.begins + 1
     kinds[speller.end] = 3
     rank = np.full(len(per), -1, np.int64)
     top = np.argsort(-per, kind="stable")[:2000]
@@ -463,9 +486,8 @@ def score(docs: DataFrame, model: dict, blend: float = BLEND) -> DataFrame:
         end = np.log10((ends + 0.5) / whole_mass)
         for whole in batches:
             for batch in pieces(whole, 1 << 20) if whole.num_rows else ():
-                split = [words_of(t) for t in as_bytes(batch.column("text"))]
-                n_words = np.fromiter(map(len, split), np.int64, len(split))
-                code = speller.lookup([w for t in split for w in t])
+                words, n_words = split_words(batch.column("text"), lower=True)
+                texts, code = len(n_words), speller.numbers(words)
                 symbols, word_ends = speller.spell(code)
                 text_words = np.concatenate(([0], np.cumsum(n_words)))
                 cuts = np.concatenate(([0], word_ends))[text_words]
@@ -477,24 +499,24 @@ def score(docs: DataFrame, model: dict, blend: float = BLEND) -> DataFrame:
                 framed[np.arange(len(symbols)) + shift] = symbols
                 logs = scorer(framed, bounds).astype(np.float64) / math.log(10)
                 sums = np.concatenate(([0], np.cumsum(logs)))
-                of_text = np.repeat(np.arange(len(split)), n_words)
+                of_text = np.repeat(np.arange(texts), n_words)
                 from_ = np.concatenate(([0], word_ends[:-1])) + 1 + 2 * of_text if len(code) else np.empty(0, np.int64)
                 spelled = sums[word_ends + 1 + 2 * of_text] - sums[from_] if len(code) else np.empty(0)
                 count = speller.counts[code]
                 plain = count >= 0
                 share = (count + 0.5) / whole_mass
-                mixed = np.log10(blend * share[plain] + (1 - blend) * 10.0 ** spelled[plain])
-                total = lambda x: np.bincount(of_text[plain], x, len(split))
+                mixed = np.log10(blend * share[plain] + (1 - blend) * np.exp(spelled[plain] * math.log(10)))
+                total = lambda x: np.bincount(of_text[plain], x, texts)
                 end_spelled = logs[bounds[1:] - 1]
                 end_mixed = np.log10(blend * (ends + 0.5) / whole_mass * (ends > 0) + (1 - blend * (ends > 0)) * 10.0**end_spelled)
                 rare = np.flatnonzero(~plain)
-                at = np.concatenate(([0], np.cumsum(np.bincount(of_text[rare], minlength=len(split))))).astype(np.int32)
+                at = np.concatenate(([0], np.cumsum(np.bincount(of_text[rare], minlength=texts)))).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (speller.hashes[code[rare]], spelled[rare].astype(np.float32))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(len(split))), batch.column("doc_id"), pa.array(n_words + 1), pa.array(total(np.ones(int(plain.sum()))).astype(np.int64) + (ends > 0)), pa.array(total(np.log10(share[plain])) + end), pa.array(total(mixed) + end_mixed), *lists],
+                    [pa.array(row + np.arange(texts)), batch.column("doc_id"), pa.array(n_words + 1), pa.array(total(np.ones(int(plain.sum()))).astype(np.int64) + (ends > 0)), pa.array(total(np.log10(share[plain])) + end), pa.array(total(mixed) + end_mixed), *lists],
                     ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "h", "s"],
                 )
-                row += len(split)
+                row += texts
 
     schema = f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, h array<bigint>, s array<float>"
     part = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "lm-scores")
