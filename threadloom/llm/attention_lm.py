@@ -104,6 +104,10 @@ class Speller(WordEncoder):
     def shrunk(self, keep: np.ndarray) -> None:
         self.hashes, self.counts = self.hashes[keep], self.counts[keep]
 
+    def logs(self, mass: float) -> np.ndarray:
+        """log10 of the share of each word in the table."""
+        return np.log10((np.maximum(self.counts, 0) + 0.5) / mass)
+
     def spell(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words, one after the other, and the end of each word."""
         sizes = self.sizes[code]
@@ -257,6 +261,10 @@ def _lags() -> np.ndarray:
     return np.where(lag >= 0, lag, WINDOW)
 
 
+_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
+_ONES_LONG = np.ones(BATCH * WINDOW, np.float32)
+
+
 def start_weights() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
     made = {"E": rng.normal(0, 0.3, (BUCKETS, WIDTH))} | {k: rng.normal(0, 0.25, (WIDTH, WIDTH)) for k in ("Wq", "Wk", "Wv")}
@@ -274,20 +282,25 @@ def gradients(w: dict, skip: np.ndarray, inputs: np.ndarray, goals: np.ndarray)
     inp, n = np.maximum(inputs, 0), max(int(real.sum()), 1)
     x = w["E"][inp]
     q, k, v = x @ w["Wq"], x @ w["Wk"], x @ w["Wv"]
-    s = q @ k.transpose(0, 2, 1) * scale + _biases(w)
-    a = np.exp(s - s.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
+    s = q @ k.transpose(0, 2, 1)
+    s *= scale
+    s += _biases(w)
+    a = np.exp(np.minimum(s, 60, out=s), out=s)
+    a /= (a @ _ONES[:WINDOW])[..., None]
     o = a @ v
-    z = skip[inp] + o @ w["Wo"] + w["b"]
-    z -= z.max(-1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(-1, keepdims=True)
-    rows, cols = np.nonzero(real)
-    loss = -np.log(p[rows, cols, goals[rows, cols]] + 1e-30).sum() / n
-    p[rows, cols, goals[rows, cols]] -= 1
-    p *= real[..., None] / np.float32(n)
-    g = {"Wo": np.tensordot(o, p, ((0, 1), (0, 1))), "b": p.sum((0, 1))}
-    do = p @ w["Wo"].T
+    z = o.reshape(-1, WIDTH) @ w["Wo"]
+    z += (skip + w["b"])[inp.ravel()]
+    p = np.exp(np.minimum(z, 60, out=z), out=z)
+    p /= (p @ _ONES[:CLASSES])[:, None]
+    flat = np.flatnonzero(real)
+    hit = p[flat, goals.ravel()[flat]]
+    loss = -np.log(hit + 1e-30).sum() / n
+    p[flat, goals.ravel()[flat]] -= 1
+    if len(flat) < len(p):
+        p[~real.ravel()] = 0
+    p *= np.float32(1 / n)
+    g = {"Wo": o.reshape(-1, WIDTH).T @ p.reshape(-1, CLASSES), "b": _ONES_LONG[: real.size] @ p.reshape(-1, CLASSES)}
+    do = (p.reshape(-1, CLASSES) @ w["Wo"].T).reshape(o.shape)
     dv = a.transpose(0, 2, 1) @ do
     da = do @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(-1, keepdims=True))
@@ -296,8 +309,7 @@ def gradients(w: dict, skip: np.ndarray, inputs: np.ndarray, goals: np.ndarray)
     for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
         g[name] = np.tensordot(x, d, ((0, 1), (0, 1)))
     dx = dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
-    g["E"] = np.zeros_like(w["E"])
-    np.add.at(g["E"], inp.ravel(), dx.reshape(-1, WIDTH))
+    g["E"] = np.stack([np.bincount(inp.ravel(), x, BUCKETS) for x in dx.reshape(-1, WIDTH).T], 1).astype(np.float32)
     return float(loss), g
 
 
@@ -374,9 +386,6 @@ def fit(sample: DataFrame, classes: np.ndarray, buckets: np.ndarray, skip: np.nd
     return w
 
 
-_ONES = np.ones(max(WINDOW, CLASSES), np.float32)
-
-
 class Scorer:
     """Log probabilities of symbols, batched over windows of many texts."""
 
@@ -390,12 +399,12 @@ class Scorer:
         reach = length(self.q) * length(self.k) + float(np.abs(w["r"]).max())
         self.bounded = reach < 40 and float(np.abs(self.skip).max()) + length(self.v) * length(self.out.T) < 60
 
-    def _windows(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, skip: int, out: np.ndarray) -> None:
+    def _windows(self, inputs: np.ndarray, goals: np.ndarray, starts: np.ndarray, ends: np.ndarray, skip: int, out: np.ndarray) -> None:
         """Score places ``skip`` and on of the windows that begin at ``starts``, up to ``ends`` (exclusive, of inputs)."""
         for c in range(0, len(starts), self.chunk):
             a, e = starts[c : c + self.chunk, None], ends[c : c + self.chunk, None]
             at = a + np.arange(WINDOW)
-            inp = self.buckets[symbols[np.minimum(at, e - 1)]]
+            inp = inputs[np.minimum(at, e - 1)]
             s = self.q[inp[:, skip:]] @ self.k[inp].transpose(0, 2, 1)
             s += self.bias[skip:]
             if not self.bounded:
@@ -411,7 +420,7 @@ class Scorer:
                 gathered, inp, goal = gathered[real], inp[real], at[real] + 1
             z = gathered @ self.out
             z += self.skip[inp]
-            hit = z[np.arange(len(z)), self.classes[symbols[goal]]]
+            hit = z[np.arange(len(z)), goals[goal]]
             if not self.bounded:
                 top = z.max(1)
                 z -= top[:, None]
@@ -423,10 +432,11 @@ class Scorer:
         """Natural logs for each symbol; texts are ``symbols[bounds[i]:bounds[i + 1]]``, and the first of each is given."""
         out = np.zeros(len(symbols), np.float32)
         first, last = bounds[:-1], bounds[1:] - 1  # inputs: all but the last symbol
-        self._windows(symbols, first, last, 0, out)
+        tables = self.buckets[symbols], self.classes[symbols]
+        self._windows(*tables, first, last, 0, out)
         more = np.maximum(0, -(-(last - first - WINDOW) // STRIDE))
         k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
-        self._windows(symbols, np.repeat(first, more) + k * STRIDE, np.repeat(last, more), WINDOW - STRIDE, out)
+        self._windows(*tables, np.repeat(first, more) + k * STRIDE, np.repeat(last, more), WINDOW - STRIDE, out)
         out += self.inside[symbols]
         out[first] = 0
         return out
@@ -471,6 +481,36 @@ def learn(training: DataFrame, path: str | None = None) -> dict:
     return {"path": path, "counts": counts, "n": n, "v": v, "ends": ends, "common": (h[order], c[order]), "tables": (w, skip, classes, buckets, inside)}
 
 
+def score_texts(speller: Speller, scorer: Scorer, texts: pa.Array, ends: int, mass: float, blend: float) -> tuple:
+    """For each text: tokens, known and base score and score of the end and all common words; for its other words, where each
+    text's begin in the lists that follow: hashes, and log10 of the spelling's probability."""
+    words, n_words = split_words(texts, lower=True)
+    n, code = len(n_words), speller.numbers(words)
+    symbols, word_ends = speller.spell(code)
+    text_words = np.concatenate(([0], np.cumsum(n_words)))
+    sizes = np.diff(np.concatenate(([0], word_ends))[text_words])
+    # each text: end, its symbols, end
+    bounds = np.concatenate(([0], np.cumsum(sizes + 2)))
+    framed = np.full(int(bounds[-1]), speller.end, np.int32)
+    of_text = np.repeat(np.arange(n, dtype=np.int64), n_words)
+    inner = np.ones(len(framed), bool)
+    inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+    framed[inner] = symbols
+    logs = scorer(framed, bounds) * np.float32(1 / math.log(10))
+    end_spelled = logs[bounds[1:] - 1].astype(np.float64)
+    spelled = np.add.reduceat(logs[inner], np.concatenate(([0], word_ends[:-1]))) if len(code) else np.empty(0, np.float32)
+    count = speller.counts[code]
+    plain = np.flatnonzero(count >= 0)
+    rare = np.flatnonzero(count < 0)
+    share, at = (count[plain] + 0.5) / mass, of_text[plain]
+    mixed = np.log10(blend * share + (1 - blend) * np.exp(spelled[plain] * np.float32(math.log(10))))
+    total = lambda x: np.bincount(at, x, n)
+    end_share = (ends + 0.5) / mass
+    end_mixed = np.log10((blend * end_share if ends else 0.0) + (1 - (blend if ends else 0.0)) * 10.0**end_spelled)
+    first = np.concatenate(([0], np.cumsum(np.bincount(of_text[rare], minlength=n)))).astype(np.int32)
+    return n_words + 1, np.bincount(at, minlength=n) + int(ends > 0), total(speller.logs(mass)[code[plain]]) + np.log10(end_share), total(mixed) + end_mixed, first, speller.hashes[code[rare]], spelled[rare]
+
+
 def score(docs: DataFrame, model: dict, blend: float = BLEND) -> DataFrame:
     """``(doc_id, n_tokens, n_known, base_score, score)`` for every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
@@ -483,37 +523,13 @@ def score(docs: DataFrame, model: dict, blend: float = BLEND) -> DataFrame:
         common, tables = shared.value
         speller, scorer = _speller(path, key, common), Scorer(*tables)
         row = TaskContext.get().partitionId() << 36
-        end = np.log10((ends + 0.5) / whole_mass)
         for whole in batches:
-            for batch in pieces(whole, 1 << 20) if whole.num_rows else ():
-                words, n_words = split_words(batch.column("text"), lower=True)
-                texts, code = len(n_words), speller.numbers(words)
-                symbols, word_ends = speller.spell(code)
-                text_words = np.concatenate(([0], np.cumsum(n_words)))
-                cuts = np.concatenate(([0], word_ends))[text_words]
-                sizes = np.diff(cuts)
-                # each text: end, its symbols, end
-                bounds = np.concatenate(([0], np.cumsum(sizes + 2)))
-                framed = np.full(int(bounds[-1]), speller.end, np.int32)
-                shift = np.repeat(1 + 2 * np.arange(len(sizes)), sizes)
-                framed[np.arange(len(symbols)) + shift] = symbols
-                logs = scorer(framed, bounds).astype(np.float64) / math.log(10)
-                sums = np.concatenate(([0], np.cumsum(logs)))
-                of_text = np.repeat(np.arange(texts), n_words)
-                from_ = np.concatenate(([0], word_ends[:-1])) + 1 + 2 * of_text if len(code) else np.empty(0, np.int64)
-                spelled = sums[word_ends + 1 + 2 * of_text] - sums[from_] if len(code) else np.empty(0)
-                count = speller.counts[code]
-                plain = count >= 0
-                share = (count + 0.5) / whole_mass
-                mixed = np.log10(blend * share[plain] + (1 - blend) * np.exp(spelled[plain] * math.log(10)))
-                total = lambda x: np.bincount(of_text[plain], x, texts)
-                end_spelled = logs[bounds[1:] - 1]
-                end_mixed = np.log10(blend * (ends + 0.5) / whole_mass * (ends > 0) + (1 - blend * (ends > 0)) * 10.0**end_spelled)
-                rare = np.flatnonzero(~plain)
-                at = np.concatenate(([0], np.cumsum(np.bincount(of_text[rare], minlength=texts)))).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (speller.hashes[code[rare]], spelled[rare].astype(np.float32))]
+            for batch in pieces(whole) if whole.num_rows else ():
+                n_tokens, n_known, base, mixed, rare, h, spelled = score_texts(speller, scorer, batch.column("text"), ends, whole_mass, blend)
+                texts = len(n_tokens)
+                lists = [pa.ListArray.from_arrays(pa.array(rare), pa.array(x)) for x in (h, spelled)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(texts)), batch.column("doc_id"), pa.array(n_words + 1), pa.array(total(np.ones(int(plain.sum()))).astype(np.int64) + (ends > 0)), pa.array(total(np.log10(share[plain])) + end), pa.array(total(mixed) + end_mixed), *lists],
+                    [pa.array(row + np.arange(texts)), batch.column("doc_id"), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(mixed), *lists],
                     ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "h", "s"],
                 )
                 row += texts
