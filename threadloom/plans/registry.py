@@ -1,15 +1,404 @@
-"""All registered queries over the driver's tables, and their SQL."""
+"""All registered queries over the driver's tables, and their SQL.
+
+Messages are the events of one chat: an event answers the one ``k`` before it (``k`` from its properties, 1 to 3). Units are
+question and answer turns of conversations.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from threadloom.functions import render, text
+from threadloom.operators import metrics, threads, units, vectors
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("props", r'"k": *(\d+)', 1).try_cast("bigint")
+    return _table(spark, sf_dir, "events").select(
+        F.lit("main").alias("chat"), F.col("event_id").alias("msg_id"), "ts", F.col("user_id").alias("sender"), F.col("event_type").alias("text"), F.when(k.between(1, 3), F.col("event_id") - k).alias("reply_to")
+    )
+
+
+_M = """m AS (SELECT 'main' AS chat, event_id AS msg_id, ts, user_id AS sender, event_type AS text,
+  CASE WHEN try_cast(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) BETWEEN 1 AND 3 THEN event_id - try_cast(regexp_extract(props, '"k": *(\\d+)', 1) AS BIGINT) END AS reply_to FROM events)"""
+_B = _M + """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY msg_id)) > 600000000 THEN 1 ELSE 0 END AS new FROM m),
+b AS (SELECT *, (sum(new) OVER (ORDER BY msg_id))::BIGINT AS burst FROM g),
+c AS (SELECT *, (row_number() OVER (PARTITION BY burst ORDER BY msg_id) - 1) // 50 AS chunk FROM b),
+h AS (SELECT *, min(msg_id) OVER (PARTITION BY burst, chunk) AS head FROM c)"""
+_R = _B + """, e AS (SELECT r.msg_id AS a, p.msg_id AS b FROM m r JOIN m p ON r.reply_to = p.msg_id WHERE r.msg_id <> p.msg_id UNION SELECT msg_id, head FROM h WHERE msg_id <> head),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT msg_id AS n, msg_id AS r FROM m UNION SELECT e2.a, reach.r FROM reach JOIN e2 ON e2.b = reach.n WHERE reach.r < e2.a),
+comp AS (SELECT n AS msg_id, min(r) AS component FROM reach GROUP BY n)"""
+
+
+@query("WITH " + _B + " SELECT chat, count(DISTINCT burst) AS n_bursts, count(*) AS n_messages, (SELECT max(n) FROM (SELECT count(*) AS n FROM b GROUP BY burst)) AS max_burst FROM b GROUP BY chat")
+def burst_stats(spark, sf_dir):
+    sizes = threads.bursts(messages(spark, sf_dir)).groupBy("chat", "burst").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("chat").agg(F.count(F.lit(1)).alias("n_bursts"), F.sum("n").alias("n_messages"), F.max("n").alias("max_burst"))
+
+
+@query("WITH " + _B + " SELECT chat, msg_id, burst, chunk, head FROM h")
+def burst_chunks(spark, sf_dir):
+    return threads.burst_chunks(threads.bursts(messages(spark, sf_dir))).select("chat", "msg_id", "burst", "chunk", "head")
+
+
+@query("WITH " + _M + " SELECT r.chat, r.msg_id, p.msg_id AS parent FROM m r JOIN m p ON r.reply_to = p.msg_id WHERE r.msg_id <> p.msg_id")
+def reply_edges(spark, sf_dir):
+    return threads.reply_edges(messages(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + _R + " SELECT 'main' AS chat, msg_id, component FROM comp")
+def thread_components(spark, sf_dir):
+    return threads.thread_components(messages(spark, sf_dir)).select("chat", "msg_id", "component")
+
+
+@query()
+def thread_stats(spark, sf_dir):
+    return threads.thread_stats(threads.build_threads(messages(spark, sf_dir)))
+
+
+@query()
+def thread_split(spark, sf_dir):
+    return threads.build_threads(messages(spark, sf_dir)).select("chat", "msg_id", "root_msg_id", "thread_pos")
+
+
+@query("WITH RECURSIVE " + _R + ", s AS (SELECT 'main' AS chat, component AS root_msg_id, count(*) AS size, max(ts) AS latest FROM m JOIN comp USING (msg_id) GROUP BY component) SELECT * FROM s WHERE size BETWEEN 2 AND 50 AND latest >= TIMESTAMP '2024-01-02'")
+def thread_select_recent(spark, sf_dir):
+    whole = threads.thread_components(messages(spark, sf_dir)).withColumnRenamed("component", "root_msg_id")
+    return threads.select_threads(whole, 2, "2024-01-02").where("size <= 50")
+
+
+_BT = _B + """, t AS (SELECT *, burst AS root_msg_id, row_number() OVER (PARTITION BY burst, chunk ORDER BY msg_id) AS thread_pos FROM h WHERE chunk = 0)"""
+
+
+def _burst_threads(spark, sf_dir) -> DataFrame:
+    first = threads.burst_chunks(threads.bursts(messages(spark, sf_dir))).where("chunk = 0")
+    return first.select("chat", F.col("burst").alias("root_msg_id"), F.row_number().over(Window.partitionBy("burst").orderBy("msg_id")).alias("thread_pos"), "msg_id", "ts", "sender", "text", "reply_to")
+
+
+@query("WITH " + _BT + ", p AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY root_msg_id ORDER BY thread_pos))) / 60000000 AS gap FROM t) SELECT chat, msg_id, gap AS gap_minutes, printf('%d мин', gap::INT) AS pause FROM p WHERE gap >= 5")
+def pause_markers(spark, sf_dir):
+    rows = threads.pause_markers(_burst_threads(spark, sf_dir), 5).where("gap_minutes is not null")
+    return rows.select("chat", "msg_id", "gap_minutes", F.format_string("%d мин", F.round("gap_minutes").cast("int")).alias("pause"))
+
+
+@query("WITH " + _BT + " SELECT chat, root_msg_id, string_agg('[' || msg_id || ']' || CASE WHEN coalesce(reply_to, 0) <> 0 THEN ' ↩' || reply_to ELSE '' END || ' ' || sender || ': ' || text, chr(10) ORDER BY thread_pos) AS text FROM t GROUP BY chat, root_msg_id")
+def thread_text(spark, sf_dir):
+    return threads.thread_text(_burst_threads(spark, sf_dir))
+
+
+_WORDS = [("licence", ["licen[sc]e", "copyright"]), ("contact", [r"@\w+\.\w+"]), ("insult", ["idiot", "stupid", "moron"])]
+
+
+@query(r"""SELECT spam, count(*) AS n FROM (SELECT CASE WHEN text = '' OR regexp_matches(text, '(?i)\?\?') THEN NULL WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'licence'
+  WHEN regexp_matches(text, '(?i)@[\p{L}\p{N}_]+\.[\p{L}\p{N}_]+') THEN 'contact' WHEN regexp_matches(text, '(?i)idiot|stupid|moron') THEN 'insult' END AS spam FROM documents) WHERE spam IS NOT NULL GROUP BY spam""")
+def spam_counts(spark, sf_dir):
+    reason = text.spam_reason(F.col("text"), _WORDS, r"\?\?", {})
+    return _table(spark, sf_dir, "documents").select(reason.alias("spam")).where("spam is not null").groupBy("spam").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mask_contacts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", text.mask_contacts(F.col("text")).alias("masked"))
+    return docs.where("masked <> text").select("doc_id", "masked")
+
+
+def _units(spark, sf_dir) -> DataFrame:
+    """Each assistant turn answers the turn before it."""
+    rows = _table(spark, sf_dir, "conversations")
+    answers = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = rows.where("role <> 'assistant'").select("conv_id", "turn", F.col("text").alias("question")).join(answers, ["conv_id", "turn"])
+    return pairs.select(F.lit("main").alias("chat"), F.col("conv_id").alias("root_msg_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "question", "answer", F.when(F.col("turn") % 3 == 0, " Date_Based ").otherwise("other").alias("type"),
+                        F.when(F.col("turn") % 4 == 0, " NULL ").otherwise(F.concat(F.lit("city"), F.col("conv_id") % 7)).alias("city"), F.col("turn").cast("string").alias("source_msg_id"))
+
+
+_U = """u AS (SELECT 'main' AS chat, q.conv_id AS root_msg_id, q.conv_id * 1000 + q.turn AS pos, trim(q.text, ' ' || chr(10) || chr(9)) AS question, trim(a.text, ' ' || chr(10) || chr(9)) AS answer,
+  CASE WHEN q.turn % 3 = 0 THEN 'date_based' ELSE 'vote_based' END AS type, CASE WHEN q.turn % 4 <> 0 THEN 'city' || (q.conv_id % 7) END AS city, q.turn AS source_msg_id
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role <> 'assistant' AND trim(q.text) <> '' AND trim(a.text) <> '')"""
+
+
+@query("WITH " + _U + " SELECT * FROM u")
+def unit_normalize(spark, sf_dir):
+    return units.normalize(_units(spark, sf_dir)).select("chat", "root_msg_id", "pos", "question", "answer", "type", "city", "source_msg_id")
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    rows = docs.select("doc_id").join(labels, "doc_id", "left")
+    faithful, useful = F.col("quality") == 1, F.col("toxic") == 0
+    atomic, kind_ok = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 3 != 0), F.when(F.col("doc_id") % 7 != 0, F.lit(True))
+    rows = rows.select("doc_id", faithful.alias("faithful"), useful.alias("useful"), atomic.alias("atomic"), kind_ok.alias("type_ok"), F.lit(True).alias("city_ok"))
+    return rows.withColumn("verdict", units.verdict(*(F.col(c) for c in ("faithful", "useful", "atomic", "type_ok", "city_ok"))))
+
+
+_J = """j AS (SELECT *, CASE WHEN faithful = false OR useful = false THEN 'drop' WHEN faithful AND useful AND atomic AND type_ok AND city_ok THEN 'keep' WHEN faithful AND useful THEN 'fix' ELSE 'error' END AS verdict FROM (
+  SELECT doc_id, quality = 1 AS faithful, toxic = 0 AS useful, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 3 <> 0 END AS atomic, CASE WHEN doc_id % 7 <> 0 THEN true END AS type_ok, true AS city_ok FROM documents LEFT JOIN labels USING (doc_id)))"""
+
+
+@query("WITH " + _J + " SELECT doc_id, verdict FROM j")
+def verdicts(spark, sf_dir):
+    return _judged(spark, sf_dir).select("doc_id", "verdict")
+
+
+@query("WITH " + _J + """, r AS (SELECT * FROM j WHERE verdict IN ('keep', 'fix', 'drop')), t AS (SELECT greatest(count(*), 1) AS total FROM r),
+n AS (SELECT verdict AS name, count(*) AS n FROM r GROUP BY verdict UNION ALL SELECT 'faithful', count(*) FILTER (faithful) FROM r UNION ALL SELECT 'atomic', count(*) FILTER (atomic) FROM r UNION ALL SELECT 'useful', count(*) FILTER (useful) FROM r UNION ALL SELECT 'type_ok', count(*) FILTER (type_ok) FROM r UNION ALL SELECT 'city_ok', count(*) FILTER (city_ok) FROM r)
+SELECT name, n, 100 * n // total AS percent FROM n, t""")
+def verdict_report(spark, sf_dir):
+    return metrics.verdict_report(_judged(spark, sf_dir))
+
+
+@query("WITH " + _J + """ SELECT doc_id AS pos, CASE WHEN verdict = 'keep' THEN 'keep' WHEN verdict = 'fix' AND atomic THEN 'simple_fix' WHEN verdict = 'fix' THEN 'atomize' WHEN verdict = 'drop' AND faithful = false THEN 'reverify' ELSE 'drop' END AS action FROM j""")
+def fix_routing(spark, sf_dir):
+    judged = _judged(spark, sf_dir).withColumnRenamed("doc_id", "pos").withColumn("type_suggested", F.lit(None).cast("string")).withColumn("city_suggested", F.lit(None).cast("string"))
+    own = judged.select("pos", F.lit("vote_based").alias("type"), F.lit(None).cast("string").alias("city"))
+    return units.route(own, judged).select("pos", "action")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, lower(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g'))")
+def dedup_first(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "pos")
+    return units.first_of(docs, [F.col("source"), F.lower(text.strip(F.col("text")))]).select(F.col("pos").alias("doc_id"))
+
+
+@query("WITH " + _U + " SELECT pos, CASE WHEN root_msg_id % 4 = 0 THEN 'fresh' ELSE 'old' END AS origin FROM u WHERE root_msg_id % 8 <> 0")
+def merge_replace(spark, sf_dir):
+    all_ = units.normalize(_units(spark, sf_dir))
+    touched = all_.where("root_msg_id % 4 = 0").select("chat", "root_msg_id")
+    fresh = all_.where("root_msg_id % 4 = 0 and root_msg_id % 8 <> 0").withColumn("origin", F.lit("fresh"))
+    return units.merge_replace(all_.withColumn("origin", F.lit("old")), fresh, touched).select("pos", "origin")
+
+
+@query("WITH " + _U + " SELECT DISTINCT conv_id AS root_msg_id FROM conversations WHERE conv_id NOT IN (SELECT root_msg_id FROM u WHERE root_msg_id % 3 = 0)")
+def resume_anti(spark, sf_dir):
+    roots = _table(spark, sf_dir, "conversations").select(F.lit("main").alias("chat"), F.col("conv_id").alias("root_msg_id")).distinct()
+    return units.resume(roots, units.normalize(_units(spark, sf_dir)).where("root_msg_id % 3 = 0")).select("root_msg_id")
+
+
+@query("WITH " + _U + ", p AS (SELECT * FROM u WHERE root_msg_id % 3 = 0) SELECT DISTINCT conv_id AS root_msg_id FROM conversations WHERE conv_id <= (SELECT max(root_msg_id) FROM p) AND conv_id NOT IN (SELECT root_msg_id FROM p)")
+def empty_threads(spark, sf_dir):
+    roots = _table(spark, sf_dir, "conversations").select(F.lit("main").alias("chat"), F.col("conv_id").alias("root_msg_id")).distinct()
+    return units.empty_threads(roots, units.normalize(_units(spark, sf_dir)).where("root_msg_id % 3 = 0")).select("root_msg_id")
+
+
+@query("WITH " + _M + " SELECT chat, event_id AS root_msg_id FROM (SELECT chat, msg_id - msg_id % 10 AS event_id, max(ts) AS latest FROM m GROUP BY ALL) WHERE latest >= (SELECT max(ts) FROM m) - INTERVAL 4 DAY - INTERVAL 3 DAY AND latest >= TIMESTAMP '2024-01-05' - INTERVAL 3 DAY")
+def cursor_select(spark, sf_dir):
+    rows = messages(spark, sf_dir).withColumn("root_msg_id", F.expr("msg_id - msg_id % 10"))
+    late = rows.agg(F.max("ts").alias("t"))
+    found = units.affected_threads(rows, "2024-01-05 00:00:00")
+    latest = rows.groupBy("chat", "root_msg_id").agg(F.max("ts").alias("latest")).join(F.broadcast(late)).where(F.expr("latest >= t - interval 7 days"))
+    return found.join(latest.select("chat", "root_msg_id"), ["chat", "root_msg_id"], "left_semi")
+
+
+@query("WITH " + _U + " SELECT pos, chat || '_' || root_msg_id || '_' || (row_number() OVER (PARTITION BY root_msg_id ORDER BY pos) - 1) AS id FROM u")
+def assign_ids(spark, sf_dir):
+    return units.assign_ids(units.normalize(_units(spark, sf_dir))).select("pos", "id")
+
+
+_H = _U + """, h AS (SELECT chat || '_' || root_msg_id || '_' || (row_number() OVER (PARTITION BY root_msg_id ORDER BY pos) - 1) AS id, root_msg_id, pos,
+  left(sha256(question || chr(10) || answer || chr(10) || type || chr(10) || coalesce(city, '') || chr(10) || 'https://t.me/main/' || root_msg_id), 16) AS content_hash FROM u)"""
+
+
+def _hashed(spark, sf_dir) -> DataFrame:
+    link = text.chat_link(F.lit(False), F.lit(0), F.col("chat"), F.col("root_msg_id"))
+    rows = units.assign_ids(units.normalize(_units(spark, sf_dir))).withColumn("root_link", link).withColumn("source_link", F.lit(""))
+    return units.with_hash(rows)
+
+
+@query("WITH " + _H + " SELECT id, content_hash FROM h")
+def content_hash(spark, sf_dir):
+    return _hashed(spark, sf_dir).select("id", "content_hash")
+
+
+def _diff(spark, sf_dir) -> DataFrame:
+    rows = _hashed(spark, sf_dir)
+    stored = rows.where("pos % 5 <> 0").withColumn("content_hash", F.when(F.col("pos") % 3 == 0, None).otherwise(F.col("content_hash")))
+    return units.index_diff(rows.where("root_msg_id % 6 <> 0").select("id", "content_hash"), stored.select("id", "content_hash"))
+
+
+_D = _H + """, w AS (SELECT id, content_hash FROM h WHERE root_msg_id % 6 <> 0), s AS (SELECT id, CASE WHEN pos % 3 <> 0 THEN content_hash END AS old FROM h WHERE pos % 5 <> 0),
+d AS (SELECT coalesce(w.id, s.id) AS id, CASE WHEN w.id IS NULL THEN 'delete' WHEN s.old = w.content_hash THEN 'unchanged' ELSE 'upsert' END AS action FROM w FULL JOIN s ON w.id = s.id)"""
+
+
+@query("WITH " + _D + " SELECT * FROM d")
+def index_diff(spark, sf_dir):
+    return _diff(spark, sf_dir)
+
+
+@query("WITH " + _D + " SELECT action, count(*) AS n FROM d GROUP BY action")
+def index_diff_summary(spark, sf_dir):
+    return _diff(spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+_S = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS score, q.label = v.label AS relevant FROM q, embeddings v WHERE vec_id <> query_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+
+
+@query("WITH " + _S + " SELECT query_id, rank, score FROM k WHERE rank <= 6")
+def cosine_topk(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return vectors.top_k(rows, rows.where("id % 20 = 0"), 6, exclude_self=True).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("WITH " + _S + " SELECT query_id, rank, score FROM k WHERE rank <= 6 AND score >= 0.3")
+def search_threshold(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    return vectors.top_k(rows, rows.where("id % 20 = 0"), 6, 0.2999995, exclude_self=True).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_P = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4)"
+
+
+@query("WITH " + _P + " SELECT * FROM p")
+def near_dup_pairs(spark, sf_dir):
+    return vectors.similar_pairs(_vectors(spark, sf_dir), 0.4).withColumn("score", F.round("score", 6))
+
+
+_C = _P + """, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT vec_id AS n, vec_id AS r FROM embeddings UNION SELECT e.a, reach.r FROM reach JOIN e ON e.b = reach.n WHERE reach.r < e.a),
+c AS (SELECT n AS id, min(r) AS cluster FROM reach GROUP BY n)"""
+
+
+def _clusters(spark, sf_dir) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return vectors.clusters(rows, vectors.similar_pairs(rows, 0.4))
+
+
+@query("WITH RECURSIVE " + _C + " SELECT * FROM c")
+def near_dup_clusters(spark, sf_dir):
+    return _clusters(spark, sf_dir)
+
+
+@query("WITH RECURSIVE " + _C + """, u AS (SELECT cluster, id AS pos, 'd' || lpad((id % 9)::VARCHAR, 2, '0') AS date, 't' || label AS type FROM c JOIN embeddings ON vec_id = id),
+t AS (SELECT cluster, type, count(*) AS n, min(date || lpad(pos::VARCHAR, 12, '0')) AS first FROM u GROUP BY ALL),
+m AS (SELECT cluster, type FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first) AS k FROM t) WHERE k = 1),
+r AS (SELECT cluster, pos AS representative FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY date DESC, pos DESC) AS k FROM u) WHERE k = 1)
+SELECT cluster, count(*) AS support_count, min(date) AS date_start, max(date) AS date_end, any_value(r.representative) AS representative, any_value(m.type) AS type FROM u JOIN m USING (cluster) JOIN r USING (cluster) GROUP BY cluster""")
+def consolidate(spark, sf_dir):
+    kinds = _vectors(spark, sf_dir).select("id", F.concat(F.lit("t"), F.col("label")).alias("type"))
+    rows = _clusters(spark, sf_dir).join(kinds, "id").select("cluster", F.col("id").alias("pos"), F.concat(F.lit("d"), F.lpad((F.col("id") % 9).cast("string"), 2, "0")).alias("date"), "type")
+    return vectors.consolidate(rows)
+
+
+def _hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("id % 20 = 0")
+    category = F.element_at(F.array(*map(F.lit, ("one_answer", "critical", "multi_source", "no_answer"))), ((F.expr("id div 20") % 4) + 1).cast("int"))
+    queries_ = asked.select(F.col("id").alias("query_id"), category.alias("category"), F.when(F.col("id") % 60 == 0, "scope_leakage").alias("subtype"), F.col("label").alias("_l"))
+    found = vectors.top_k(rows, asked, 20, exclude_self=True).join(rows.select("id", "label"), "id").join(queries_.select("query_id", "_l"), "query_id")
+    return queries_.drop("_l"), found.select("query_id", "rank", F.round("score", 6).alias("score"), (F.col("label") == F.col("_l")).alias("relevant"))
+
+
+_G = _S + """, qs AS (SELECT query_id, CASE (query_id // 20) % 4 WHEN 0 THEN 'one_answer' WHEN 1 THEN 'critical' WHEN 2 THEN 'multi_source' ELSE 'no_answer' END AS category, CASE WHEN query_id % 60 = 0 THEN 'scope_leakage' END AS subtype FROM q),
+grid AS (SELECT unnest([4, 6, 8, 10, 15, 20]) AS k, t.threshold FROM (SELECT unnest([0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7])::DOUBLE AS threshold) t),
+n AS (SELECT grid.k, threshold, qs.query_id, category, subtype, count(*) FILTER (rank <= grid.k AND score >= threshold) AS kept, count(*) FILTER (rank <= grid.k AND relevant) AS rel, count(*) FILTER (rank <= grid.k AND score >= threshold AND relevant) AS good FROM grid, qs LEFT JOIN k ON k.query_id = qs.query_id AND rank <= 20 GROUP BY ALL),
+a AS (SELECT k, threshold, avg(good / kept) FILTER (kept > 0) AS precision, avg(good / rel) FILTER (rel > 0) AS recall, avg((good > 0)::INT) FILTER (category <> 'no_answer') AS hit_rate, avg(kept) AS avg_hits, avg((good > 0)::INT) FILTER (category = 'no_answer') AS no_answer_leak, avg((good > 0)::INT) FILTER (category = 'critical' AND subtype IS DISTINCT FROM 'scope_leakage') AS critical_hit_rate FROM n GROUP BY k, threshold),
+sw AS (SELECT *, CASE WHEN precision > 0 AND recall > 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM a)"""
+
+
+@query("WITH " + _G + " SELECT * FROM sw")
+def sweep_grid(spark, sf_dir):
+    return metrics.sweep_grid(*_hits(spark, sf_dir))
+
+
+@query("WITH " + _G + " SELECT * FROM sw WHERE coalesce(no_answer_leak, 0) = 0 AND (critical_hit_rate IS NULL OR critical_hit_rate = 1) ORDER BY round(coalesce(f1, 0), 12) DESC, round(avg_hits, 12), k, threshold LIMIT 1")
+def pick_best(spark, sf_dir):
+    return metrics.pick_best(metrics.sweep_grid(*_hits(spark, sf_dir)))
+
+
+@query("SELECT source AS city, count(*) AS n FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source HAVING count(*) >= 5")
+def city_counts(spark, sf_dir):
+    return metrics.city_options(_table(spark, sf_dir, "documents").select(F.col("source").alias("city"), F.col("doc_id").alias("pos")), 5, ("src1", "src2"))
+
+
+@query("SELECT user_id, event_type AS username, count(*) AS n FROM events GROUP BY ALL")
+def usage_by_user(spark, sf_dir):
+    return metrics.usage_by_user(_table(spark, sf_dir, "events").withColumnRenamed("event_type", "username"))
+
+
+@query("""WITH d AS (SELECT * FROM events WHERE strftime(ts, '%Y-%m-%d') = '2024-01-02'), u AS (SELECT user_id, arg_max(event_type, event_id) AS username, count(*) AS n, min(event_id) AS f FROM d GROUP BY user_id)
+SELECT user_id, username, n, (SELECT count(*) FROM d) AS day_questions, (SELECT count(DISTINCT user_id) FROM d) AS day_users FROM u ORDER BY n DESC, f LIMIT 10""")
+def daily_digest(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").select("ts", "user_id", F.col("event_type").alias("username"), F.col("event_id").alias("pos"))
+    return metrics.daily_digest(log, "2024-01-02")
+
+
+@query("SELECT event_id AS pos, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS nth, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= CASE WHEN user_id % 10 = 0 THEN 100 ELSE 5 END AS allowed FROM events")
+def quota_allowed(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").select("ts", "user_id", F.col("event_id").alias("pos"))
+    return metrics.allowed_questions(log, supporters=log.where("user_id % 10 = 0").select("user_id")).select("pos", "user_id", F.col("nth").cast("bigint").alias("nth"), "allowed")
+
+
+@query("SELECT user_id AS chat, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 20")
+def history_tail(spark, sf_dir):
+    return metrics.history_tail(_table(spark, sf_dir, "events").select(F.col("user_id").alias("chat"), F.col("event_id").alias("seq")))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS label FROM pages")
+def url_label(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.url_label(F.col("url")).alias("label"))
+
+
+@query("SELECT event_id, ['январь','февраль','март','апрель','май','июнь','июль','август','сентябрь','октябрь','ноябрь','декабрь'][month(ts)] || ' ' || year(ts) AS label FROM events")
+def date_label(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", text.month_label(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("label"))
+
+
+_A = "CASE doc_id % 4 WHEN 0 THEN 'x [1][2] y [9]' WHEN 1 THEN 'see [2] and [2]' WHEN 2 THEN 'none [?]' ELSE '[1, x] end' END"
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    hit = lambda n: F.struct(F.concat(F.lit(f"https://t.me/c{n}/"), F.col("doc_id").cast("string")).alias("link"), F.lit("май 2024" if n == 1 else "").alias("date"), F.lit(f"chat {n}").alias("title"), F.lit(n == 2).alias("private"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(_A).alias("answer"), F.array(hit(1), hit(2)).alias("hits"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'x (https://t.me/c1/' || doc_id || ', май 2024) (🔒https://t.me/c2/' || doc_id || ') y ' WHEN 1 THEN 'see (🔒https://t.me/c2/' || doc_id || ') and ' WHEN 2 THEN 'none (не из чата)' ELSE ' (https://t.me/c1/' || doc_id || ', май 2024) end' END AS text,
+CASE doc_id % 4 WHEN 0 THEN 2 WHEN 2 THEN 0 ELSE 1 END::INT AS n_sources FROM documents""")
+def citation_sources(spark, sf_dir):
+    done = _answers(spark, sf_dir).select("doc_id", render.inline_citations(F.col("answer"), F.col("hits")).alias("c"))
+    return done.select("doc_id", "c.text", F.size("c.sources").alias("n_sources"))
+
+
+@query("""SELECT doc_id, to_json(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'faithful' END, CASE WHEN doc_id % 5 = 0 THEN 'relevant' END, CASE WHEN doc_id % 2 = 0 AND doc_id % 7 = 0 THEN 'honest_uncertainty' END, CASE WHEN doc_id % 11 = 0 THEN 'citation_leftover' END], lambda x: x IS NOT NULL))::VARCHAR AS fails FROM documents""")
+def answer_verdicts(spark, sf_dir):
+    no = lambda n: F.col("doc_id") % n != 0
+    rows = _table(spark, sf_dir, "documents").select("doc_id", no(3).alias("faithful"), no(5).alias("relevant"), F.lit(True).alias("scope_ok"), no(7).alias("honest_uncertainty"), F.when(F.col("doc_id") % 11 == 0, "left [3]").otherwise("fine").alias("answer"))
+    fails = metrics.answer_fails(F.col("doc_id") % 2 == 0, text.citation_left(F.col("answer")), text.date_outside_citation(F.col("answer")))
+    return rows.select("doc_id", F.to_json(fails).alias("fails"))
+
+
+@query()
+def answer_html(spark, sf_dir):
+    done = _answers(spark, sf_dir).select("doc_id", render.inline_citations(F.col("answer"), F.col("hits")).alias("c"))
+    return done.select("doc_id", render.html_column(F.concat(F.lit("**"), F.col("doc_id").cast("string"), F.lit("** <"), F.col("c.text"))).alias("html"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
