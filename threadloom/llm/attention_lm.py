@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, fresh_path, held_out, written
+from .common import as_bytes, checkpointed, fresh_path, held_out, written
 from .token_table import WordEncoder, kept_encoder, pieces, split_words
 
 WINDOW, STRIDE = 32, 24
@@ -350,8 +350,7 @@ def fit(sample: DataFrame, classes: np.ndarray, buckets: np.ndarray, skip: np.nd
     if not rows:
         return w
     tasks = max(1, round(rows / (STEPS * BATCH)))
-    dealt = written(sample.repartition(tasks, F.xxhash64("symbols")).sortWithinPartitions(F.xxhash64("symbols")).withColumn("task", F.spark_partition_id()), "lm-windows")
-    dealt = dealt.repartition(tasks, "task") if tasks > 1 else dealt.coalesce(1)
+    dealt = checkpointed(sample.repartition(tasks))  # in turn, so that equal windows of copies don't meet in one task
     tables = sc.broadcast((classes, buckets, skip))
     for k in range(ROUNDS):
         now = sc.broadcast(w)
@@ -375,7 +374,7 @@ def fit(sample: DataFrame, classes: np.ndarray, buckets: np.ndarray, skip: np.nd
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], ["w"])
 
-        parts, left = dealt.select("symbols").mapInArrow(run, "w binary"), tasks
+        parts, left = dealt.mapInArrow(run, "w binary"), tasks
         while left > 32:
             left = -(-left // 16)
             parts = parts.repartition(left).mapInArrow(merge, "w binary")

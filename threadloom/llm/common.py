@@ -2,60 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.graph import components  # noqa: F401
+from threadloom.storage import checkpointed, fresh_path, shared_dir, written  # noqa: F401
+
 #: Words are runs of anything but these characters (space, tab, line ends, form feed).
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors reach: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine), a temporary folder is made and set.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.sparkContext.setCheckpointDir(place)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; keeps partitions and their order."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def unlink_tree(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system API, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def word_array(text: Column) -> Column:
     """Words of a text as a native array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
@@ -94,38 +55,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (long, a != b) as ``(node, root)``, root the smallest node reachable.
-
-    Alternating star contractions: every node hooks onto the smallest neighbour seen, so long chains halve in each
-    round and the edge list never grows. Each round is checkpointed in the shared folder. Aggregations are map-side
-    combined, so a hub with very many links is no hot task. Nodes without edges aren't returned.
-    """
-    spark = edges.sparkSession
-    links = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    if links.isEmpty():
-        return spark.createDataFrame([], "node long, root long")
-    before = None
-    for _ in range(max_rounds):
-        # large star: neighbours larger than u hook onto the smallest of u and its neighbours
-        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # small star: smaller neighbours and u itself hook onto the smallest neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = checkpointed(links.where("u != v").distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = links.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def with_prefix_sums(df: DataFrame, order: list, value: str, before: str = "before", row: str = "row") -> DataFrame:
     """Add the sum of ``value`` over all earlier rows and the number of earlier rows, in the global order ``order``.
 
