@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, fresh_path, held_out, written
+from .common import as_bytes, checkpointed, fresh_path, held_out, map_arrow, written
 from .token_table import WordEncoder, kept_encoder, pieces, split_words
 
 WINDOW, STRIDE = 32, 24
@@ -134,7 +134,7 @@ def word_counts(training: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], ["w", "c"])
                 yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([batch.num_rows], pa.int64())], ["w", "c"])
 
-    return training.select("text").mapInArrow(run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    return training.select("text").transform(map_arrow, run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def symbol_counts(counts: DataFrame, path: str) -> DataFrame:
@@ -157,7 +157,7 @@ def symbol_counts(counts: DataFrame, path: str) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["symbol", "n"])
 
-    return counts.mapInArrow(run, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return counts.transform(map_arrow, run, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def windows(training: DataFrame, path: str, every: int = EVERY) -> DataFrame:
@@ -189,7 +189,7 @@ def windows(training: DataFrame, path: str, every: int = EVERY) -> DataFrame:
                     rows.append(s[: WINDOW + 1] + [-1] * (WINDOW + 1 - len(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["symbols"])
 
-    return training.select("text").mapInArrow(run, "symbols array<int>")
+    return training.select("text").transform(map_arrow, run, "symbols array<int>")
 
 
 def bigrams(sample: DataFrame, rank: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def bigrams(sample: DataFrame, rank: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["k", "n"])
 
     out = np.zeros(size * size)
-    table = sample.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    table = sample.transform(map_arrow, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out[table.column("k").to_numpy()] = table.column("n").to_numpy()
     return out.reshape(size, size)
 
@@ -374,10 +374,10 @@ def fit(sample: DataFrame, classes: np.ndarray, buckets: np.ndarray, skip: np.nd
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], ["w"])
 
-        parts, left = dealt.mapInArrow(run, "w binary"), tasks
+        parts, left = dealt.transform(map_arrow, run, "w binary"), tasks
         while left > 32:
             left = -(-left // 16)
-            parts = parts.repartition(left).mapInArrow(merge, "w binary")
+            parts = parts.repartition(left).transform(map_arrow, merge, "w binary")
         got = sorted(bytes(x["w"]) for x in parts.collect())
         _, w, loss = pickle.loads(_average(got))
         w["loss"] = np.float32(loss)
@@ -534,7 +534,7 @@ def score(docs: DataFrame, model: dict, blend: float = BLEND) -> DataFrame:
                 row += texts
 
     schema = f"row bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, h array<bigint>, s array<float>"
-    part = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "lm-scores")
+    part = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(map_arrow, run, schema), "lm-scores")
     rare = part.where(F.size("h") > 0).select("row", F.explode(F.arrays_zip("h", "s")).alias("t")).select("row", "t.h", "t.s")
     counts = model["counts"].where((F.col("c") < COMMON * model["n"]) & (F.col("w") != "")).select(F.col("h").alias("_h"), "c")
     met = rare.join(counts, rare.h == counts._h, "left").select("row", "s", F.coalesce("c", F.lit(0)).alias("c"))

@@ -55,6 +55,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of an Arrow batch, unless the session says otherwise: so much text is in a worker at once, but for single longer texts.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` in small batches; a worker gives its free memory back after each task."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def with_prefix_sums(df: DataFrame, order: list, value: str, before: str = "before", row: str = "row") -> DataFrame:
     """Add the sum of ``value`` over all earlier rows and the number of earlier rows, in the global order ``order``.
 
@@ -84,4 +113,4 @@ def with_prefix_sums(df: DataFrame, order: list, value: str, before: str = "befo
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first, pa.int64()), pa.array(index, pa.int64())], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return ranged.mapInArrow(run, f"{fields}, `{before}` bigint, `{row}` bigint")
+    return ranged.transform(map_arrow, run, f"{fields}, `{before}` bigint, `{row}` bigint")

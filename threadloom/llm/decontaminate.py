@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import map_arrow, mix64
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -130,7 +130,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold:
                     ["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
                 )
 
-        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, n_shared bigint, n_shingles bigint, containment double")
+        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(map_arrow, run, f"doc_id {kind}, item_id {item_kind}, n_shared bigint, n_shingles bigint, containment double")
         out = found if out is None else out.union(found)
     return out
 
@@ -145,5 +145,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thr
             for batch in batches:
                 yield batch.filter(pa.array([not sketches.matches(t) for t in batch.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.transform(map_arrow, run, schema)
     return docs

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, components, mix64, over_batches, written
+from .common import as_bytes, checkpointed, components, map_arrow, mix64, over_batches, written
 
 BLOCKS = 6
 DENSE = 16
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(over_batches(run), f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", F.col("text").cast("string")).transform(map_arrow, over_batches(run), f"doc_id {kind}, fp bigint")
 
 
 def _masks(radius: int) -> list[int]:
@@ -175,7 +175,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     keys = F.explode(F.array(*(F.struct(F.lit(n).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(_masks(radius)))))
     pivots = _pivots()
     dealt = distinct.select("fp", keys.alias("k")).select("k.block", "k.key", "fp").repartition("block", "key").sortWithinPartitions("block", "key")
-    return dealt.mapInArrow(lambda it: _bucket_links(it, pivots, radius), "a bigint, b bigint")
+    return dealt.transform(map_arrow, lambda it: _bucket_links(it, pivots, radius), "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, map_arrow
 
 END_ID = 2
 
@@ -238,7 +238,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(before + ends - counts), pa.array(counts), lists], ["doc_id", "part", "before", "n_tokens", "ids"])
                 before += int(ends[-1])
 
-    return ranged.mapInArrow(run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids array<int>")
+    return ranged.transform(map_arrow, run, f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 128 << 10, page_rows: int = 2_000) -> None:
@@ -285,7 +285,7 @@ def ids_crc32(table: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
 
     fields = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
-    return table.select(*keep, "ids").mapInArrow(run, f"{fields}, ids_crc32 bigint")
+    return table.select(*keep, "ids").transform(map_arrow, run, f"{fields}, ids_crc32 bigint")
 
 
 def token_rows(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, held_out, written
+from .common import held_out, map_arrow, WORD_BREAK, written
 
 FIT_ROWS = 20_000
 #: Lexicon voters at most, rows that a term must mark, and the least part of its rows that are toxic.
@@ -110,7 +110,7 @@ def mine(sample: DataFrame) -> list[str]:
         if seen:
             yield flush()
 
-    counts = sample.select("text", "toxic").mapInArrow(run, "term string, bad bigint, n bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = sample.select("text", "toxic").transform(map_arrow, run, "term string, bad bigint, n bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     good = counts.where((F.col("bad") >= least) & (F.col("bad") >= LEAST_PRECISION * F.col("n")))
     found = good.orderBy(F.desc(F.col("bad") * F.col("bad") / F.col("n")), F.desc(F.length("term")), "term").limit(4 * MOST_TERMS).collect()
     kept: list[str] = []
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict |
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([h for _, h in found], pa.int64())], ["toxic", "fired", "hits"])
 
     # sorted, so that sums come out alike whatever the order of partitions
-    rows = sorted((x["toxic"], list(x["fired"]), x["hits"]) for x in sample.mapInArrow(run, "toxic int, fired array<int>, hits bigint").collect())
+    rows = sorted((x["toxic"], list(x["fired"]), x["hits"]) for x in sample.transform(map_arrow, run, "toxic int, fired array<int>, hits bigint").collect())
     toxic = np.array([r[0] for r in rows], float)
     if not len(rows) or toxic.min() == toxic.max():
         return None
@@ -222,7 +222,7 @@ def scores(docs: DataFrame, model: dict | None) -> DataFrame:
                 batch = whole.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text").to_pylist()))], ["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(map_arrow, run, f"doc_id {kind}, score double")
 
 
 def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,4 +241,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> Dat
                 batch = whole.slice(k, 512)
                 yield batch.filter(pa.array(score(batch.column("text").cast(pa.string()).to_pylist()) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)
