@@ -21,6 +21,7 @@ turns are kept; null conversation ids are one conversation; an empty table gives
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, with_prefix_sums, written
+from .common import checkpointed, map_arrow, with_prefix_sums, written
 
 BEGIN, END, LINE = "<s>[", "</s>\n", "]\n"
 _CONTROL = re.compile(r"(<)(?=/?s>)|(\[)(?=/?INST\])|(<)(?=\|)")
@@ -62,15 +63,17 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    """``path``: a file of ranks, one base64 piece and its number a line."""
+    import public_tokenizers
+    import tiktoken
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _tokens(nodes: DataFrame, path: str) -> DataFrame:
@@ -82,7 +85,7 @@ def _tokens(nodes: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             parts = [x for r, t in zip(roles, texts) for x in segments(r, t)]
-            ids = [e.ids for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
+            ids = [tokenizer.encode_ordinary(x) for x in parts]
             whole = [a + b + c for a, b, c in zip(ids[::3], ids[1::3], ids[2::3])]
             first = [len(a) for a in ids[::3]]
             last = [f + len(b) if r == "assistant" else f for f, b, r in zip(first, ids[1::3], roles)]
@@ -90,7 +93,7 @@ def _tokens(nodes: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], [*kept, "token_ids", "n_tokens", "loss_from", "loss_to"])
 
     fields = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in kept)
-    return nodes.mapInArrow(run, f"{fields}, token_ids array<int>, n_tokens bigint, loss_from int, loss_to int")
+    return nodes.transform(map_arrow, run, f"{fields}, token_ids array<int>, n_tokens bigint, loss_from int, loss_to int")
 
 
 def _nested(chains: DataFrame) -> DataFrame:
@@ -164,8 +167,8 @@ def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str | None = None)
 
         for batch in batches:
             ids = batch.column("token_ids").to_pylist()
-            texts = tokenizer.decode_batch(ids, skip_special_tokens=False)
-            masked = tokenizer.decode_batch([x[a:b] for x, a, b in zip(ids, batch.column("loss_from").to_pylist(), batch.column("loss_to").to_pylist())], skip_special_tokens=False)
+            texts = map(tokenizer.decode, ids)
+            masked = (tokenizer.decode(x[a:b]) for x, a, b in zip(ids, batch.column("loss_from").to_pylist(), batch.column("loss_to").to_pylist()))
             for null, i, text, loss in zip(batch.column("n").to_pylist(), batch.column("i").to_pylist(), texts, masked):
                 if now is None or now["id"] != (null, i):
                     if now:
@@ -183,7 +186,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, tokenizer: str | None = None)
             done.append(row())
         yield out()
 
-    return turns.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return turns.transform(map_arrow, run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def chat_rows(conversations: DataFrame) -> DataFrame:
