@@ -254,6 +254,15 @@ def test_rounding_is_near_target_and_unbiased(spark):
     assert abs(total / 9000 - 1.5) < 0.03
 
 
+def test_many_equal_rows_share_their_copies(spark):
+    df = spark.range(200).selectExpr("cast(null as long) as doc_id", "'a b c' as text", "'s' as source")
+    rows = pivotal_mix.mix_rows(df).collect()
+    assert len(rows) == 200 and sum(x["taken"] for x in rows) == 900 and {x["taken"] for x in rows} == {3, 6}
+    assert pivotal_mix.mixed_documents(df).count() == 300
+    numbered = pivotal_mix._numbered(spark.createDataFrame([("a", 7), ("b", 1), ("c", 4)], "x string, n long"), "n", "k", run=3)
+    assert sorted((x["x"], x["k"]) for x in numbered.collect()) == [("a", k) for k in range(7)] + [("b", 0)] + [("c", k) for k in range(4)]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -314,11 +323,12 @@ def test_simhash_components(docs, texts, none):
     assert simhash_pivot.simhash_rows(none).count() == 0 and simhash_pivot.keep_one(none).count() == 0
 
 
-def test_links_of_large_buckets_stay_connected(spark):
+@pytest.mark.parametrize("hot", [simhash_pivot.HOT, 16])
+def test_links_of_large_buckets_stay_connected(spark, hot):
     rng = np.random.default_rng(0)
     center = int(rng.integers(1 << 62))
     fps = list({center ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 5), replace=False)) for _ in range(400)}) + [int(x) for x in rng.integers(0, 1 << 62, 300)]
-    edges = simhash_pivot.links(spark.createDataFrame([(f,) for f in fps], "fp long")).distinct().collect()
+    edges = simhash_pivot.links(spark.createDataFrame([(f,) for f in fps], "fp long"), hot=hot).distinct().collect()
     assert all((x["a"] ^ x["b"]).bit_count() <= 3 for x in edges) and len(edges) < 20 * len(fps)
     parent = {f: f for f in fps}
 
@@ -334,6 +344,21 @@ def test_links_of_large_buckets_stay_connected(spark):
     assert groups(root) == groups(brute.get)
 
 
+def test_forest_of_many_near_copies():
+    rng = np.random.default_rng(1)
+    x = np.unique(rng.integers(0, 1 << 19, 2000).astype(np.uint64))
+    table = np.bitwise_count(x[:, None] ^ np.array(simhash_pivot._pivots(), np.int64).view(np.uint64)[None, :]).astype(np.int16)
+    i, j = simhash_pivot._forest(x, table, 3, block=256)
+    assert len(i) < len(x) and (np.bitwise_count(x[i] ^ x[j]) <= 3).all()
+    parent = np.arange(len(x))
+    for a, b in zip(i.tolist(), j.tolist()):
+        parent[parent == parent[a]] = parent[b]
+    near, label = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, np.arange(len(x))
+    while (new := np.where(near, label[None, :], len(x)).min(axis=1)).sum() < label.sum():
+        label = new
+    assert len(set(zip(parent.tolist(), label.tolist()))) == len(set(parent.tolist())) == len(set(label.tolist())) > 1
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -34,12 +34,12 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``(source, source_size, n, target)`` from rows ``(source, size)``.
+    """``(source, source_size, n, target)`` from rows ``(source, size, m)``: ``m`` rows alike.
 
     A source stops at ``most`` times its size. With sources in the order of ``most * size / weight``, the level at which
     the rest share what the stopped ones leave is largest at the right number of stopped sources.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (place - 1) % len(weights) + 1).cast("double"))
     by = by.withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -105,7 +105,7 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     """
     spark = rows.sparkSession
     items = written(rows.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("m")), "mix-items")
-    goals = written(targets(items.select("source", F.explode(F.array_repeat("size", F.col("m").cast("int"))).alias("size")), weights, share, most), "mix-targets")
+    goals = written(targets(items, weights, share, most), "mix-targets")
     expected = F.when(F.col("source_size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(0.0)
     to = F.broadcast(goals) if goals.count() <= 10_000 else goals
     marked = items.join(to, items.source.eqNullSafe(goals.source)).select("key", items.source, "size", "m", "n", expected.alias("e"))
@@ -133,10 +133,17 @@ def mix(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     )
 
 
+def _numbered(rows: DataFrame, n: str, k: str, run: int = 1 << 16) -> DataFrame:
+    """Each row ``n`` times, with its number ``k`` from 0. In runs, so that no long array is built."""
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {run}"))).alias("_run"))
+    first = F.col("_run") * run
+    return rows.select("*", F.explode(F.sequence(first, F.least(first + run, F.col(n)) - 1)).alias(k)).drop("_run")
+
+
 def mix_rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row."""
     rows = docs.select(F.col("doc_id").alias("key"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    mixed = mix(rows).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
+    mixed = _numbered(mix(rows), "m", "k")
     own = F.expr("copies div m") + (F.col("k") < F.col("copies") % F.col("m")).cast("long")
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (own * F.col("size")).alias("taken"))
 
@@ -150,4 +157,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     alone = kept.where("m = 1").select("_row", "copies")
     # equal rows share their copies: those of one key are one row here, taken as often as all of them together
     equal = kept.where("m > 1").groupBy("_key").agg(F.min("_row").alias("_row"), F.max("copies").alias("copies")).select("_row", "copies")
-    return alone.union(equal).select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")
+    return _numbered(alone.union(equal), "copies", "_k").select("_row.*")

@@ -17,7 +17,8 @@ How links are found. Distances to reference fingerprints (pivots) are 1-Lipschit
 
 Copies never meet in pairs: equal fingerprints are one row from the start. Fingerprints that share a key are
 compared in vectorized sweeps; of a bucket with over ``SMALL`` members only a spanning forest of its links is emitted, so
-the output stays in proportion to the input however many near copies there are.
+the output stays in proportion to the input however many near copies there are. Buckets of over ``HOT`` members are dealt
+once more, by the same rule over the coordinates that their key leaves free, so that no task holds an unbounded bucket.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link like any other; null ids are kept, and sort
 after all others when the smallest id is chosen; repeated rows come back as often as they went in.
@@ -25,12 +26,13 @@ after all others when the smallest id is chosen; repeated rows come back as ofte
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, checkpointed, components, map_arrow, mix64, over_batches, written
@@ -77,6 +79,13 @@ def _masks(radius: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, BLOCKS - radius)]
 
 
+def _finer(mask: int, radius: int) -> list[int]:
+    """Masks that add to ``mask`` all but ``radius`` of ``BLOCKS`` groups of the coordinates that it leaves free."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    groups = [sum(1 << int(k) for k in g) for g in np.array_split(free, BLOCKS)]
+    return [mask + sum(x) for x in combinations(groups, BLOCKS - radius)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -87,6 +96,8 @@ def _pivots(n: int = DENSE) -> list[int]:
 
 #: Buckets up to this size are compared in one vectorized sweep; larger ones give a spanning forest.
 SMALL = 64
+#: Buckets with more fingerprints than this are dealt by finer keys.
+HOT = 4096
 
 
 def _near(x: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,28 +111,41 @@ def _near(x: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius
 def _forest(x: np.ndarray, table: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all close fingerprints of one large bucket, fewer than it has rows.
 
-    Sorted by the distance to the first pivot, only rows at most ``radius`` further on can be close. Blocks bound memory.
+    Sorted by the distance to the first pivot, only rows at most ``radius`` further on can be close. Blocks bound memory;
+    blocks that are connected already aren't compared.
     """
     order = np.argsort(table[:, 0], kind="stable")
     x, table = x[order], table[order]
     parent = np.arange(len(x))
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
+    def roots(k: np.ndarray) -> np.ndarray:
+        r = parent[k]
+        while not np.array_equal(up := parent[r], r):
+            r = up
+        parent[k] = r
+        return r
 
     out: list[tuple[int, int]] = []
     for a in range(0, len(x), block):
         end = int(np.searchsorted(table[:, 0], table[min(a + block, len(x)) - 1, 0] + radius, side="right"))
+        rows = np.arange(a, min(a + block, len(x)))
         for b in range(a, end, block):
-            p, q = x[a : a + block], x[b : min(b + block, end)]
-            close = np.bitwise_count(p[:, None] ^ q[None, :]) <= radius
-            for u, v in zip(*np.nonzero(close)):
-                if (ru := root(a + u)) != (rv := root(b + v)):
-                    parent[max(ru, rv)] = min(ru, rv)
-                    out.append((a + u, b + v))
+            others = np.arange(b, min(b + block, end))
+            left, right = roots(rows), roots(others)
+            if (left == left[0]).all() and (right == left[0]).all():
+                continue
+            close = np.bitwise_count(x[rows][:, None] ^ x[others][None, :]) <= radius
+            for u in np.flatnonzero(close.any(axis=1)):
+                near = np.flatnonzero(close[u])
+                near = near[right[near] != left[u]]
+                if not len(near):
+                    continue
+                apart, first = np.unique(right[near], return_index=True)
+                out.extend((a + int(u), b + int(v)) for v in near[first])
+                joined = np.append(apart, left[u])
+                parent[joined] = joined.min()
+                left[np.isin(left, joined)] = joined.min()
+                right[np.isin(right, joined)] = joined.min()
     i, j = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
     return order[i], order[j]
 
@@ -167,14 +191,25 @@ def _bucket_links(batches, pivots: list[int], radius: int):
         yield links(*held[0])
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def _keyed(block: int, mask: int) -> Column:
+    return F.struct(F.lit(block).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
+
+
+def links(distinct: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     """``(a, b)`` that connect all fingerprints of ``distinct(fp)`` within ``radius`` bits of each other.
 
-    All close pairs of small buckets, a spanning forest of large ones; repeated if several keys agree.
+    All close pairs of small buckets, a spanning forest of large ones; repeated if several keys agree. Members of a bucket of
+    over ``hot`` fingerprints are dealt by finer keys, which leave some 17 coordinates free: no task holds more than that.
     """
-    keys = F.explode(F.array(*(F.struct(F.lit(n).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(_masks(radius)))))
-    pivots = _pivots()
-    dealt = distinct.select("fp", keys.alias("k")).select("k.block", "k.key", "fp").repartition("block", "key").sortWithinPartitions("block", "key")
+    masks, pivots = _masks(radius), _pivots()
+    dealt = distinct.select("fp", F.explode(F.array(*(_keyed(n, m) for n, m in enumerate(masks)))).alias("k")).select("k.block", "k.key", "fp")
+    large = written(dealt.groupBy("block", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", "key"), "simhash-hot")
+    if not large.isEmpty():
+        finer = [F.array(*(_keyed((n + 1) * 1000 + k, m) for k, m in enumerate(_finer(mask, radius)))) for n, mask in enumerate(masks)]
+        chosen = reduce(lambda other, n: F.when(F.col("block") == n, finer[n]).otherwise(other), range(1, len(finer)), finer[0])
+        again = dealt.join(large, ["block", "key"], "left_semi").select("fp", F.explode(chosen).alias("k")).select("k.block", "k.key", "fp")
+        dealt = dealt.join(large, ["block", "key"], "left_anti").union(again)
+    dealt = dealt.repartition("block", "key").sortWithinPartitions("block", "key")
     return dealt.transform(map_arrow, lambda it: _bucket_links(it, pivots, radius), "a bigint, b bigint")
 
 
