@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators.graph import components
+from threadloom.storage import written
 
 QUERY_BLOCK = 4096
 PAIR_BLOCK = 4096
@@ -98,19 +99,68 @@ def clusters(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return vectors.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
-def same_link_clusters(units: DataFrame, least: float = 0.97) -> DataFrame:
+#: Units of one link up to this number are compared by a join; larger links block by block.
+SMALL_LINK = 64
+
+
+def _spanning(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple]:
+    """Links enough to connect what the matrix links, fewer than it has rows and columns. ``x`` and ``y``: ids, equal ids are one."""
+    ids, of = np.unique(np.concatenate((x, y)), return_inverse=True)
+    label, left, right, out = np.arange(len(ids)), of[: len(x)], of[len(x) :], []
+    for u in np.flatnonzero(linked.any(axis=1)):
+        near = right[linked[u]]
+        apart, first = np.unique(label[near], return_index=True)
+        for new, v in zip(apart, near[first]):
+            if label[left[u]] != new:
+                out.append((ids[left[u]], ids[v]))
+        label[np.isin(label, np.append(apart, label[left[u]]))] = apart.min()
+    return out
+
+
+def _link_edges(units: DataFrame, least: float, small: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` that connect the clusters of each link, and ``(pos, n)``: close pairs, each counted at one end."""
+    sizes = units.groupBy("link").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = written(units.join(sizes, "link").select("link", "pos", F.trim("question").alias("q"), "embedding", "_n"), "same-link")
+    few, many = rows.where(F.col("_n") <= small), rows.where(F.col("_n") > small)
+    a, b = (few.select("link", F.col("pos").alias(s), F.col("q").alias(f"{s}_q"), F.col("embedding").alias(f"{s}_e")) for s in "ab")
+    pairs = a.join(b, "link").where("a < b").select("a", "b", (F.col("a_q") == F.col("b_q")).alias("same"), (F.round(cosine(F.col("a_e"), F.col("b_e")), 9) >= least).alias("close"))
+    found = pairs.where("same or close").select("a", "b", F.col("close").cast("long").alias("n"))
+    dealt = many.withColumn("_k", F.expr(f"cast(ceil(_n / {block}) as int)")).withColumn("_b", F.expr("cast(pmod(xxhash64(pos), _k) as int)"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("i"), F.greatest(F.col("_b"), o).alias("j")))
+    dealt = dealt.select("link", "pos", "q", "embedding", "_b", F.explode(pair).alias("p")).select("link", "pos", "q", "embedding", "_b", "p.i", "p.j")
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
+        x, y = df[df["_b"] == i], df[df["_b"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
+        close = np.round(_unit(list(x["embedding"])) @ _unit(list(y["embedding"])).T, 9) >= least
+        codes = pd.factorize(pd.concat((x["q"], y["q"])))[0]
+        same = (codes[: len(x), None] == codes[None, len(x) :]) & (codes[: len(x), None] >= 0)
+        if i == j:
+            close, same = np.triu(close, 1), np.triu(same, 1)
+        edges = [(*e, 0) for e in _spanning(close | same, x["pos"].to_numpy(), y["pos"].to_numpy())]
+        counted = [(p, p, n) for p, n in zip(x["pos"], close.sum(axis=1)) if n]
+        return pd.DataFrame(edges + counted, columns=["a", "b", "n"]).astype("int64")
+
+    found = written(found.union(dealt.groupBy("link", "i", "j").applyInPandas(compare, "a bigint, b bigint, n bigint")), "link-pairs")
+    return found.where("a <> b").select("a", "b"), found.groupBy(F.col("a").alias("pos")).agg(F.sum("n").alias("n"))
+
+
+def same_link_clusters(units: DataFrame, least: float = 0.97, small: int = SMALL_LINK, block: int = PAIR_BLOCK) -> DataFrame:
     """``(pos, cluster, action)`` for ``units(pos, link, question, embedding)``: among units with one link, edges join equal
     questions and cosines of ``least`` or more. A cluster whose pairs all reach ``least`` keeps its first unit and drops the
-    rest; any other is merged into its first. Units alone are kept."""
-    a, b = (units.select("link", F.col("pos").alias(f"{s}_pos"), F.trim("question").alias(f"{s}_q"), F.col("embedding").alias(f"{s}_e")) for s in "ab")
-    pairs = a.join(b, "link").where("a_pos < b_pos").select("a_pos", "b_pos", (F.col("a_q") == F.col("b_q")).alias("same"), cosine(F.col("a_e"), F.col("b_e")).alias("score"))
-    pairs = pairs.withColumn("close", F.round("score", 9) >= least)
-    roots = components(pairs.where("same or close").select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b")))
-    inside = pairs.join(roots.select(F.col("node").alias("a_pos"), F.col("root").alias("ra")), "a_pos").join(roots.select(F.col("node").alias("b_pos"), F.col("root").alias("rb")), "b_pos").where("ra = rb")
-    tight = inside.groupBy(F.col("ra").alias("cluster")).agg(F.min("close").alias("tight"))
-    rows = units.select("pos").join(roots.withColumnRenamed("node", "pos"), "pos", "left").select("pos", F.coalesce("root", "pos").alias("cluster")).join(tight, "cluster", "left")
+    rest; any other is merged into its first. Units alone are kept.
+
+    A link may hold most units: then it is compared by pairs of blocks, which return spanning links and counts, not all pairs.
+    """
+    edges, close = _link_edges(units, least, small, block)
+    roots = components(edges)
+    rows = written(units.select("pos").join(roots.withColumnRenamed("node", "pos"), "pos", "left").join(close, "pos", "left").select("pos", F.coalesce("root", "pos").alias("cluster"), F.coalesce("n", F.lit(0)).alias("n")), "link-clusters")
+    folded = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    folded = folded.select("cluster", F.when(F.col("m") > 1, F.col("n") * 2 == F.col("m") * (F.col("m") - 1)).alias("tight"))
     first = F.col("pos") == F.col("cluster")
-    return rows.select("pos", "cluster", F.when(F.col("tight").isNull(), "keep").when(F.col("tight"), F.when(first, "keep").otherwise("drop")).otherwise(F.when(first, "merge").otherwise("merged")).alias("action"))
+    return rows.join(folded, "cluster").select("pos", "cluster", F.when(F.col("tight").isNull(), "keep").when(F.col("tight"), F.when(first, "keep").otherwise("drop")).otherwise(F.when(first, "merge").otherwise("merged")).alias("action"))
 
 
 def merge_record(units: DataFrame) -> DataFrame:

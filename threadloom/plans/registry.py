@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import render, text
-from threadloom.operators import metrics, threads, units, vectors
+from threadloom.operators import answering, metrics, refresh, threads, units, vectors
+from threadloom.providers import StubProvider
+from threadloom.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -396,6 +398,128 @@ def answer_html(spark, sf_dir):
     return done.select("doc_id", render.html_column(F.concat(F.lit("**"), F.col("doc_id").cast("string"), F.lit("** <"), F.col("c.text"))).alias("html"))
 
 
+def _linked(spark, sf_dir) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("pos"), F.concat(F.lit("l"), F.col("label")).alias("link"), F.concat(F.lit(" q"), F.expr("vec_id div 2")).alias("question"), "embedding", F.concat(F.lit("d"), F.col("vec_id") % 5).alias("date"))
+
+
+_L = """l AS (SELECT vec_id AS pos, 'l' || label AS link, 'q' || (vec_id // 2) AS q, 'd' || (vec_id % 5) AS date, embedding::DOUBLE[] AS v FROM embeddings),
+lp AS (SELECT a.pos AS a, b.pos AS b, a.q = b.q AS same, round(list_cosine_similarity(a.v, b.v), 9) >= 0.45 AS close FROM l a JOIN l b ON a.link = b.link AND a.pos < b.pos),
+e AS (SELECT a, b FROM lp WHERE same OR close UNION SELECT b, a FROM lp WHERE same OR close), reach AS (SELECT pos AS n, pos AS r FROM l UNION SELECT e.a, reach.r FROM reach JOIN e ON e.b = reach.n WHERE reach.r < e.a),
+c AS (SELECT n AS pos, min(r) AS cluster FROM reach GROUP BY n),
+t AS (SELECT c.cluster, bool_and(lp.close) AS tight FROM lp JOIN c ON c.pos = lp.a JOIN c d ON d.pos = lp.b WHERE c.cluster = d.cluster GROUP BY c.cluster),
+act AS (SELECT pos, cluster, CASE WHEN tight IS NULL THEN 'keep' WHEN tight THEN CASE WHEN pos = cluster THEN 'keep' ELSE 'drop' END WHEN pos = cluster THEN 'merge' ELSE 'merged' END AS action FROM c LEFT JOIN t USING (cluster))"""
+
+
+@query("WITH RECURSIVE " + _L + " SELECT pos, cluster, action FROM act")
+def same_link_clusters(spark, sf_dir):
+    return vectors.same_link_clusters(_linked(spark, sf_dir), 0.45)
+
+
+@query("WITH RECURSIVE " + _L + " SELECT (SELECT count(*) FROM l) AS units, (SELECT count(*) FROM (SELECT link FROM l GROUP BY link HAVING count(*) > 1)) AS groups, count(*) FILTER (action = 'drop') AS dropped, count(*) FILTER (action = 'merge') AS merged_groups FROM act")
+def dedupe_stats(spark, sf_dir):
+    rows = _linked(spark, sf_dir)
+    return refresh.dedupe_stats(rows, vectors.same_link_clusters(rows, 0.45))
+
+
+@query("WITH RECURSIVE " + _L + " SELECT cluster, arg_max(pos, date || lpad((1000000000 - pos)::VARCHAR, 12, '0')) AS pos FROM act JOIN l USING (pos) GROUP BY cluster")
+def merge_record(spark, sf_dir):
+    rows = _linked(spark, sf_dir)
+    members = vectors.same_link_clusters(rows, 0.45).join(rows.select("pos", "date"), "pos")
+    return vectors.merge_record(members).select("cluster", "pos")
+
+
+@query("WITH " + _U + """, n AS (SELECT *, row_number() OVER (PARTITION BY root_msg_id ORDER BY pos) - 1 AS i FROM u)
+SELECT root_msg_id, string_agg('[' || i || '] Вопрос: ' || question || chr(10) || 'Ответ: ' || answer || chr(10) || 'Тип: ' || type || chr(10) || 'Город: ' || coalesce(city, 'null'), chr(10) || chr(10) ORDER BY i) AS block FROM n GROUP BY root_msg_id""")
+def unit_blocks(spark, sf_dir):
+    rows = units.normalize(_units(spark, sf_dir)).withColumn("i", F.row_number().over(Window.partitionBy("chat", "root_msg_id").orderBy("pos")) - 1)
+    return answering.joined(rows, ["root_msg_id"], F.col("i"), answering.unit_block(F.col("i")), "block")
+
+
+@query("WITH " + _U + """, n AS (SELECT *, row_number() OVER (PARTITION BY root_msg_id ORDER BY pos) AS i FROM u)
+SELECT root_msg_id, string_agg('[Фрагмент ' || i || '] тип: ' || type || CASE WHEN city IS NULL THEN '' ELSE ', город: ' || city END || ', дата: ' || chr(10) || 'ссылка: https://t.me/main/' || root_msg_id || chr(10) || 'Вопрос: ' || question || chr(10) || 'Ответ: ' || answer, chr(10) || chr(10) ORDER BY i) AS block FROM n GROUP BY root_msg_id""")
+def fragment_blocks(spark, sf_dir):
+    rows = units.normalize(_units(spark, sf_dir)).withColumn("i", F.row_number().over(Window.partitionBy("chat", "root_msg_id").orderBy("pos")))
+    rows = rows.withColumn("date", F.lit(None).cast("string")).withColumn("link", text.chat_link(F.lit(False), F.lit(0), F.col("chat"), F.col("root_msg_id")))
+    return answering.joined(rows, ["root_msg_id"], F.col("i"), answering.fragment_block(F.col("i"), F.lit(False)), "block")
+
+
+@query("WITH " + _BT + """, p AS (SELECT *, thread_pos % 2 AS br FROM t), x AS (SELECT root_msg_id, br, thread_pos AS pos, '[' || msg_id || ']' || CASE WHEN coalesce(reply_to, 0) <> 0 THEN ' ↩' || reply_to ELSE '' END || ' ' || sender || ': ' || text AS line FROM p
+UNION ALL SELECT DISTINCT root_msg_id, br, -1, CASE br WHEN 0 THEN '### even' ELSE '### (без темы)' END FROM (SELECT root_msg_id, unnest([0, 1]) AS br FROM t)) SELECT root_msg_id, string_agg(line, chr(10) ORDER BY br, pos) AS text FROM x GROUP BY root_msg_id""")
+def branches_text(spark, sf_dir):
+    own = _burst_threads(spark, sf_dir).withColumn("root_msg_id", F.col("root_msg_id").cast("long"))
+    ids = lambda k: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("thread_pos", "msg_id")), lambda x: x["thread_pos"] % 2 == k)), lambda x: x["msg_id"])
+    branch = lambda k, topic: F.struct(F.lit(topic).alias("topic"), ids(k).alias("message_ids"))
+    branches = own.groupBy("chat", "root_msg_id").agg(F.array(branch(0, " even "), branch(1, "")).alias("branches"))
+    return answering.branches_text(threads.branch_messages(branches, own), branches).select("root_msg_id", "text")
+
+
+@query("SELECT user_id, CASE WHEN coalesce(n, 0) = 0 THEN '' ELSE c.city END AS city, CASE WHEN c.city = 'skip' THEN NULL WHEN coalesce(n, 0) = 0 THEN 'unknown' WHEN n < 5 THEN 'few' END AS warning FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 5 = 0 THEN 'skip' ELSE 'src' || (user_id % 40) END AS city FROM events) c LEFT JOIN (SELECT source AS city, count(*) AS n FROM documents WHERE source <> '' GROUP BY source) s USING (city)")
+def city_choice(spark, sf_dir):
+    chosen = _table(spark, sf_dir, "events").select("user_id", F.when(F.col("user_id") % 5 == 0, " skip ").otherwise(F.concat(F.lit(" src"), F.col("user_id") % 40)).alias("city")).distinct()
+    counts = metrics.city_options(_table(spark, sf_dir, "documents").select(F.col("source").alias("city"), F.col("doc_id").alias("pos")), 1)
+    return refresh.city_choice(chosen, counts)
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'thanks' ELSE 'request' END AS label, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'own' ELSE coalesce(lang, '') END AS query FROM documents")
+def guest_labels(spark, sf_dir):
+    label = F.when(F.col("doc_id") % 3 == 0, "thanks").when(F.col("doc_id") % 3 == 1, "other")
+    got = answering.guest_label(label, F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "own").otherwise(""), F.col("lang"))
+    return _table(spark, sf_dir, "documents").select("doc_id", got.alias("g")).select("doc_id", "g.*")
+
+
+@query("WITH " + _D + " SELECT id, content_hash FROM w WHERE id IN (SELECT id FROM d WHERE action = 'upsert') UNION ALL SELECT id, old FROM s WHERE id IN (SELECT id FROM d WHERE action = 'unchanged')")
+def index_after(spark, sf_dir):
+    rows = _hashed(spark, sf_dir)
+    stored = rows.where("pos % 5 <> 0").select("id", F.when(F.col("pos") % 3 == 0, None).otherwise(F.col("content_hash")).alias("content_hash"))
+    wanted = rows.where("root_msg_id % 6 <> 0").select("id", "content_hash")
+    return units.apply_diff(stored, wanted, units.index_diff(wanted, stored))
+
+
+@query("SELECT event_id AS msg_id FROM events WHERE event_id > 100 AND strftime(ts, '%Y-%m-%d') >= '2024-01-02' ORDER BY event_id DESC LIMIT 500")
+def newest_messages(spark, sf_dir):
+    rows = messages(spark, sf_dir).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    return tables.newest(rows, 100, "2024-01-02", 500).select("msg_id")
+
+
+@query("SELECT user_id AS chat_username, max(event_id) AS last_msg_id FROM events GROUP BY user_id")
+def last_ids(spark, sf_dir):
+    return tables.last_ids(_table(spark, sf_dir, "events").select(F.col("user_id").alias("chat_username"), F.col("event_id").alias("msg_id")))
+
+
+@query("SELECT user_id, 'new' AS origin FROM events WHERE user_id % 3 = 0 GROUP BY ALL UNION ALL SELECT user_id, 'old' FROM events WHERE user_id % 3 <> 0 GROUP BY ALL")
+def upsert_by_key(spark, sf_dir):
+    users = _table(spark, sf_dir, "events").select("user_id").distinct()
+    return tables.upsert(users.withColumn("origin", F.lit("old")), users.where("user_id % 3 = 0").withColumn("origin", F.lit("new")), ["user_id"])
+
+
+@query()
+def sample_units(spark, sf_dir):
+    return refresh.seeded(units.normalize(_units(spark, sf_dir)), 30, "pos", 7).select("pos")
+
+
+@query()
+def answers(spark, sf_dir):
+    """The whole way from questions to cited answers, with the offline provider."""
+    from threadloom import providers
+
+    provider = StubProvider()
+    rows = units.with_hash(units.assign_ids(units.normalize(_units(spark, sf_dir))).withColumn("root_link", text.chat_link(F.lit(False), F.lit(0), F.col("chat"), F.col("root_msg_id"))).withColumn("source_link", F.lit("")))
+    stored = providers.embed(rows.select("id", "chat", "question", "answer", "type", "city", F.lit("2024-05-01T00:00:00").alias("date"), F.col("root_link").alias("link")), provider, "question")
+    history = F.when(F.col("pos") % 2 == 0, F.array(F.struct(F.lit("user").alias("role"), F.lit("before").alias("content"))))
+    asked = rows.where("pos % 20 = 0").select(F.col("id").alias("query_id"), F.col("question").alias("query"), history.alias("history"), F.lit(None).cast("string").alias("city"))
+    chats = spark.createDataFrame([("main", "Main", False)], "chat string, title string, private boolean")
+    return answering.answers(asked, stored, chats, provider).select("query_id", "search", "answer", F.size("sources").alias("n_sources"))
+
+
+@query()
+def refreshed_units(spark, sf_dir):
+    """One incremental run over all messages with the offline provider, and an empty state."""
+    old = units.normalize(_units(spark, sf_dir)).select("chat", "root_msg_id", "pos", "question", "answer", "type", "city", "source_msg_id")
+    state = spark.createDataFrame([], "chat string, processed_until timestamp_ntz")
+    return refresh.refresh(messages(spark, sf_dir), old, state, StubProvider(), "2024-02-01 00:00:00", "2024-01-04 00:00:00")[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -35,6 +35,8 @@ class StubProvider:
             return json.dumps({"items": [{"question": lines[0], "answer": lines[-1], "type": "vote_based", "city": None, "source_msg_id": None}] if len(lines) > 1 else []})
         if task == "judge":
             return json.dumps({"results": [{"index": k, "faithful": n % 5 != 0, "atomic": n % 3 != 0, "useful": n % 7 != 0, "type_suggested": None, "city": None, "note": ""} for k in range(len(lines))]})
+        if task == "reverify":
+            return json.dumps({"faithful": n % 2 == 0, "note": ""})
         if task == "recall":
             return json.dumps({"has_knowledge": len(lines) > 3, "missed": ""})
         if task == "atomize":
