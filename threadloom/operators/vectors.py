@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadloom.operators.graph import components
 from threadloom.storage import written
@@ -39,7 +40,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | Non
     """
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
-    kind = vectors.schema["id"].dataType.simpleString()
+    kind, asked = vectors.schema["id"].dataType, queries.schema["id"].dataType
+    fields = f"query_id {asked.simpleString()}, id {kind.simpleString()}, score double"
+    types = [to_arrow_type(asked), to_arrow_type(kind), pa.float64()]
     out = None
     for n in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n) if blocks > 1 else queries
@@ -60,12 +63,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | Non
                     good = np.flatnonzero(own != ids[i]) if exclude_self else np.arange(len(own))
                     best = good[np.lexsort((own[good], -s[good]))[:k]]
                     found.extend((ids[i], own[j].item(), float(s[j])) for j in best)
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["query_id", "id", "score"]), preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(types)], ["query_id", "id", "score"])
 
-        part = vectors.select("id", "embedding").mapInArrow(run, f"query_id {kind}, id {kind}, score double")
+        part = vectors.select("id", "embedding").mapInArrow(run, fields)
         out = part if out is None else out.union(part)
     if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], f"{fields}, rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked if least is None else ranked.where(F.col("score") >= least)
