@@ -15,6 +15,7 @@ from threadloom.functions import render, text
 from threadloom.operators import answering, metrics, refresh, threads, units, vectors
 from threadloom.providers import StubProvider
 from threadloom.sources import tables
+from threadloom.storage import written
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -93,20 +94,19 @@ def thread_select_recent(spark, sf_dir):
 _BT = _B + """, t AS (SELECT *, burst AS root_msg_id, row_number() OVER (PARTITION BY burst, chunk ORDER BY msg_id) AS thread_pos FROM h WHERE chunk = 0)"""
 
 
-def _burst_threads(spark, sf_dir) -> DataFrame:
-    first = threads.burst_chunks(threads.bursts(messages(spark, sf_dir))).where("chunk = 0")
-    return first.select("chat", F.col("burst").alias("root_msg_id"), F.row_number().over(Window.partitionBy("burst").orderBy("msg_id")).alias("thread_pos"), "msg_id", "ts", "sender", "text", "reply_to")
+def _threads(spark, sf_dir) -> DataFrame:
+    """All messages in their threads, places from 1; written once, since some queries read it twice."""
+    return written(threads.build_threads(messages(spark, sf_dir)).withColumn("thread_pos", F.col("thread_pos") + 1), "threads")
 
 
 @query("WITH " + _BT + ", p AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY root_msg_id ORDER BY thread_pos))) / 60000000 AS gap FROM t) SELECT chat, msg_id, gap AS gap_minutes, printf('%d мин', gap::INT) AS pause FROM p WHERE gap >= 5")
 def pause_markers(spark, sf_dir):
-    rows = threads.pause_markers(_burst_threads(spark, sf_dir), 5).where("gap_minutes is not null")
-    return rows.select("chat", "msg_id", "gap_minutes", F.format_string("%d мин", F.round("gap_minutes").cast("int")).alias("pause"))
+    return threads.pause_markers(_threads(spark, sf_dir), 5).where("gap_minutes is not null").select("chat", "msg_id", "gap_minutes", "pause")
 
 
 @query("WITH " + _BT + " SELECT chat, root_msg_id, string_agg('[' || msg_id || ']' || CASE WHEN coalesce(reply_to, 0) <> 0 THEN ' ↩' || reply_to ELSE '' END || ' ' || sender || ': ' || text, chr(10) ORDER BY thread_pos) AS text FROM t GROUP BY chat, root_msg_id")
 def thread_text(spark, sf_dir):
-    return threads.thread_text(_burst_threads(spark, sf_dir))
+    return threads.thread_text(_threads(spark, sf_dir))
 
 
 _WORDS = [("licence", ["licen[sc]e", "copyright"]), ("contact", [r"@\w+\.\w+"]), ("insult", ["idiot", "stupid", "moron"])]
@@ -447,7 +447,7 @@ def fragment_blocks(spark, sf_dir):
 @query("WITH " + _BT + """, p AS (SELECT *, thread_pos % 2 AS br FROM t), x AS (SELECT root_msg_id, br, thread_pos AS pos, '[' || msg_id || ']' || CASE WHEN coalesce(reply_to, 0) <> 0 THEN ' ↩' || reply_to ELSE '' END || ' ' || sender || ': ' || text AS line FROM p
 UNION ALL SELECT DISTINCT root_msg_id, br, -1, CASE br WHEN 0 THEN '### even' ELSE '### (без темы)' END FROM (SELECT root_msg_id, unnest([0, 1]) AS br FROM t)) SELECT root_msg_id, string_agg(line, chr(10) ORDER BY br, pos) AS text FROM x GROUP BY root_msg_id""")
 def branches_text(spark, sf_dir):
-    own = _burst_threads(spark, sf_dir).withColumn("root_msg_id", F.col("root_msg_id").cast("long"))
+    own = _threads(spark, sf_dir)
     ids = lambda k: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("thread_pos", "msg_id")), lambda x: x["thread_pos"] % 2 == k)), lambda x: x["msg_id"])
     branch = lambda k, topic: F.struct(F.lit(topic).alias("topic"), ids(k).alias("message_ids"))
     branches = own.groupBy("chat", "root_msg_id").agg(F.array(branch(0, " even "), branch(1, "")).alias("branches"))
