@@ -61,3 +61,11 @@ def test_branches_have_every_message(spark, chat):
     sf, messages, want = chat
     got = {x["root_msg_id"]: x["text"] for x in registry.queries()["branches_text"](spark, sf).collect()}
     assert got == {t[0]: "\n".join(["### even", *(line(i, messages) for i in t[1::2]), "### (без темы)", *(line(i, messages) for i in t[::2])]) for t in want}
+
+
+def test_select_recent_loses_no_large_component(spark, chat):
+    sf, messages, want = chat
+    got = {(x["root_msg_id"], x["size"], x["latest"]) for x in registry.queries()["thread_select_recent"](spark, sf).collect()}
+    latest = {t[0]: T0 + dt.timedelta(seconds=max(messages[i][0] for i in t)) for t in want}
+    found = {(t[0], len(t), latest[t[0]]) for t in want if len(t) >= 2 and latest[t[0]] >= dt.datetime(2024, 1, 2)}
+    assert got == found and found

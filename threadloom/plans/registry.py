@@ -87,8 +87,7 @@ def thread_split(spark, sf_dir):
 
 @query("WITH RECURSIVE " + _R + ", s AS (SELECT 'main' AS chat, component AS root_msg_id, count(*) AS size, max(ts) AS latest FROM m JOIN comp USING (msg_id) GROUP BY component) SELECT * FROM s WHERE size BETWEEN 2 AND 50 AND latest >= TIMESTAMP '2024-01-02'")
 def thread_select_recent(spark, sf_dir):
-    whole = threads.thread_components(messages(spark, sf_dir)).withColumnRenamed("component", "root_msg_id")
-    return threads.select_threads(whole, 2, "2024-01-02").where("size <= 50")
+    return threads.select_threads(threads.build_threads(messages(spark, sf_dir)), 2, "2024-01-02")
 
 
 _BT = _B + """, t AS (SELECT *, burst AS root_msg_id, row_number() OVER (PARTITION BY burst, chunk ORDER BY msg_id) AS thread_pos FROM h WHERE chunk = 0)"""
