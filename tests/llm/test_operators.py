@@ -198,6 +198,26 @@ def test_lm_base_score(docs, texts, none):
     assert attention_lm.lm_rows(none).count() == 0
 
 
+def test_lm_counts_neighbours_of_whole_texts(spark):
+    path = attention_lm.default_tokenizer()
+    speller = attention_lm.Speller(path)
+    texts = [prose(n, 70 + n) for n in (900, 33, 1, 400)] + ["", None]
+    framed = []
+    for t in texts:
+        code = speller.lookup(words(t))
+        framed.append([speller.end, *(speller.spell(code)[0].tolist() if len(code) else []), speller.end])
+    want = Counter(p for f in framed for p in zip(f, f[1:]))
+    made = attention_lm.windows(spark.createDataFrame([(t,) for t in texts], "text string"), path)
+    rows = [x["symbols"] for x in made.collect()]
+    assert all(len(r) == attention_lm.WINDOW + 1 for r in rows)
+    assert Counter(p for r in rows for p in zip(r, r[1:]) if min(p) >= 0) == want
+    used = sorted({a for p in want for a in p})
+    rank = np.full(speller.n_symbols, -1, np.int64)
+    rank[used] = np.arange(len(used))
+    pairs = attention_lm.bigrams(made, rank)
+    assert {(used[a], used[b]): int(pairs[a, b]) for a, b in zip(*np.nonzero(pairs))} == want
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ probability of a word mixes both, with weight ``BLEND`` for the share; what the
 spelling as well. So the sum over all words is one.
 
 How it runs. (1) Word counts over all training texts, combined before the shuffle. (2) Counts of symbols from the distinct
-words. (3) One window for about ``EVERY`` words of each training text, so what is trained on grows with the corpus.
+words. (3) Consecutive windows over the whole of each training text: counts of neighbouring symbols and training take all of them.
 (4) Rounds of training: tasks of a fixed number of windows start from the common weights, and a tree of averages
 makes the next. (5) One pass over all texts: overlapping windows of ``WINDOW`` symbols, ``STRIDE`` apart, each symbol
 scored once. Counts of words with at least ``COMMON`` of all tokens are sent to the executors (at most ``1 / COMMON``
@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 import math
 import pickle
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,7 +46,6 @@ from .token_table import WordEncoder, kept_encoder, pieces, split_words
 
 WINDOW, STRIDE = 32, 24
 WIDTH, CLASSES, SINGLE, BUCKETS = 16, 128, 80, 1024
-EVERY = 256
 ROUNDS, STEPS, BATCH, RATE = 3, 120, 64, 0.01
 BLEND = 0.4
 COMMON = 3e-7
@@ -160,40 +160,43 @@ def symbol_counts(counts: DataFrame, path: str) -> DataFrame:
     return counts.transform(map_arrow, run, "symbol int, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def windows(training: DataFrame, path: str, every: int = EVERY) -> DataFrame:
-    """``(symbols array<int>)`` of ``WINDOW + 1`` symbols: one for about ``every`` words, placed by a hash of the text."""
+def _framed(speller: Speller, symbols: np.ndarray, word_ends: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts of ``n_words`` each, with an end before and after each text, and where each text begins."""
+    text_words = np.concatenate(([0], np.cumsum(n_words)))
+    sizes = np.diff(np.concatenate(([0], word_ends))[text_words])
+    bounds = np.concatenate(([0], np.cumsum(sizes + 2)))
+    framed = np.full(int(bounds[-1]), speller.end, np.int32)
+    inner = np.ones(len(framed), bool)
+    inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+    framed[inner] = symbols
+    return framed, bounds
+
+
+def windows(training: DataFrame, path: str) -> DataFrame:
+    """``(symbols array<int>)`` of ``WINDOW + 1`` symbols, -1 where the text has ended: consecutive windows over the whole of each text
+    with an end at both sides. The last symbol of a window is the first of the next, so each pair of neighbours is in one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = _speller(path)
         for whole in batches:
             for batch in pieces(whole) if whole.num_rows else ():
                 words, n_words = split_words(batch.column("text"), lower=True)
-                taken, first, last = [], [], []
-                for text, n, before in zip(as_bytes(batch.column("text")), n_words.tolist(), (np.cumsum(n_words) - n_words).tolist()):
-                    rng = np.random.default_rng(xxhash.xxh64_intdigest(text, SEED))
-                    for at in rng.integers(-WINDOW, n, int((n + WINDOW) / every + rng.random())).tolist():
-                        at = max(at, 0)
-                        taken.append((before + at, before + min(at + WINDOW, n)))
-                        first.append(at == 0)
-                        last.append(at + WINDOW >= n)
-                at = np.array(taken, np.int64).reshape(-1, 2)
-                sizes = at[:, 1] - at[:, 0]
-                ends = np.cumsum(sizes)
-                code = speller.numbers(words.take(pa.array(np.repeat(at[:, 0] - ends + sizes, sizes) + np.arange(int(sizes.sum())))))
-                symbols, word_ends = speller.spell(code)
-                bounds = np.concatenate(([0], word_ends))[np.concatenate(([0], ends))]
-                rows = []
-                for k in range(len(taken)):
-                    s = symbols[bounds[k] : bounds[k + 1]].tolist()
-                    s = [speller.end] * first[k] + s + [speller.end] * last[k]
-                    rows.append(s[: WINDOW + 1] + [-1] * (WINDOW + 1 - len(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["symbols"])
+                symbols, word_ends = speller.spell(speller.numbers(words))
+                framed, bounds = _framed(speller, symbols, word_ends, n_words)
+                made = -(-(np.diff(bounds) - 1) // WINDOW)  # a text of n symbols has n - 1 pairs
+                ends = np.repeat(bounds[1:], made)
+                starts = np.repeat(bounds[:-1], made) + (np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made)) * WINDOW
+                for k in range(0, len(starts), 8192):
+                    at = starts[k : k + 8192, None] + np.arange(WINDOW + 1)
+                    rows = np.where(at < ends[k : k + 8192, None], framed[np.minimum(at, len(framed) - 1)], -1).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (WINDOW + 1)), pa.array(rows.ravel()))
+                    yield pa.RecordBatch.from_arrays([lists], ["symbols"])
 
     return training.select("text").transform(map_arrow, run, "symbols array<int>")
 
 
 def bigrams(sample: DataFrame, rank: np.ndarray) -> np.ndarray:
-    """Counts of neighbours in the windows, ``(len, len)`` for the most frequent symbols (``rank`` >= 0). Bounded."""
+    """Counts of neighbours in all training texts, ``(len, len)`` for the most frequent symbols (``rank`` >= 0). Bounded."""
     size = int(rank.max()) + 1
     known = sample.sparkSession.sparkContext.broadcast(rank)
 
@@ -350,18 +353,25 @@ def fit(sample: DataFrame, classes: np.ndarray, buckets: np.ndarray, skip: np.nd
     if not rows:
         return w
     tasks = max(1, round(rows / (STEPS * BATCH)))
-    dealt = checkpointed(sample.repartition(tasks))  # in turn, so that equal windows of copies don't meet in one task
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b.column("symbols").flatten().to_numpy().reshape(-1, WINDOW + 1) for b in batches]
+        if found and sum(map(len, found)):
+            s = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(s[np.lexsort(s.T)].tobytes(), 1)], pa.binary())], ["s"])
+
+    # in turn, so that equal windows of copies don't meet in one task; a task's windows are one packed row, which spares disk
+    dealt = checkpointed(sample.repartition(tasks).transform(map_arrow, pack, "s binary"))
     tables = sc.broadcast((classes, buckets, skip))
     for k in range(ROUNDS):
         now = sc.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], k=k, now=now) -> Iterator[pa.RecordBatch]:
             classes, buckets, skip = tables.value
-            found = [b.column("symbols").flatten().to_numpy().reshape(-1, WINDOW + 1) for b in batches]
-            if not found or not sum(map(len, found)):
+            found = [np.frombuffer(zlib.decompress(x), np.int32).reshape(-1, WINDOW + 1) for b in batches for x in b.column("s").to_pylist()]
+            if not found:
                 return
             s = np.concatenate(found)
-            s = s[np.lexsort(s.T)]
             to = lambda table, x: np.where(x >= 0, table[np.maximum(x, 0)], -1)
             made, loss = train(now.value, skip, to(buckets, s[:, :-1]), to(classes, s[:, 1:]), SEED + k, rate=RATE / (1 + k))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((len(s), made, loss))], pa.binary())], ["w"])
@@ -486,15 +496,10 @@ def score_texts(speller: Speller, scorer: Scorer, texts: pa.Array, ends: int, ma
     words, n_words = split_words(texts, lower=True)
     n, code = len(n_words), speller.numbers(words)
     symbols, word_ends = speller.spell(code)
-    text_words = np.concatenate(([0], np.cumsum(n_words)))
-    sizes = np.diff(np.concatenate(([0], word_ends))[text_words])
-    # each text: end, its symbols, end
-    bounds = np.concatenate(([0], np.cumsum(sizes + 2)))
-    framed = np.full(int(bounds[-1]), speller.end, np.int32)
+    framed, bounds = _framed(speller, symbols, word_ends, n_words)
     of_text = np.repeat(np.arange(n, dtype=np.int64), n_words)
     inner = np.ones(len(framed), bool)
     inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
-    framed[inner] = symbols
     logs = scorer(framed, bounds) * np.float32(1 / math.log(10))
     end_spelled = logs[bounds[1:] - 1].astype(np.float64)
     spelled = np.add.reduceat(logs[inner], np.concatenate(([0], word_ends[:-1]))) if len(code) else np.empty(0, np.float32)
