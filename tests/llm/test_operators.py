@@ -430,6 +430,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert {x["score"] for x in toxicity.toxicity_rows(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_only_true_copies_of_a_label_are_folded(spark):
+    rows = [(f"aaa zzz {prose(40, 3000 + k)}", k % 2) for k in range(60)]  # all share two words
+    long = prose(200, 5000)
+    near = [(long, 1), (long, 1), (long, 0)]
+    got = sorted((x["text"], x["toxic"]) for x in toxicity._without_copies(spark.createDataFrame(rows + near + [(None, 0), ("", 0), ("one", 1)], "text string, toxic int")).where("text > ''").collect())
+    assert got == sorted([*rows, (long, 0), (long, 1), ("one", 1)])
+
+
 # pipeline --------------------------------------------------------------------------------------------------------------
 
 

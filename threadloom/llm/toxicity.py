@@ -36,8 +36,9 @@ FIT_ROWS = 20_000
 MOST_TERMS, LEAST_ROWS, LEAST_PRECISION = 400, 5, 0.9
 #: ... and the least part of all toxic rows that it marks.
 LEAST_SHARE = 0.01
-#: Copies in the sample count once: rows that agree in one of so many MinHash values of their words are copies.
-COPY_HASHES = 3
+#: Copies in the sample count once: rows of a label that agree in all of so many MinHash values of their shingles of so many words, and
+#: in this share of the shingles.
+COPY_HASHES, COPY_WORDS, COPY_SHARE = 3, 3, 0.8
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = {
@@ -77,13 +78,27 @@ class Votes:
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
-    """One row of each group of near copies, or a few: else any rare word of a copied text would look like a term."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), WORD_BREAK)
-    marks = [F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"m{k}") for k in range(COPY_HASHES)]
-    rows = sample.select("text", "toxic", *marks)
-    for k in range(COPY_HASHES):
-        rows = rows.groupBy(f"m{k}").agg(F.min(F.struct("text", "toxic", *(f"m{j}" for j in range(k + 1, COPY_HASHES)))).alias("r")).select("r.*")
-    return rows
+    """The sample less true copies within a label: else any rare word of a copied text would look like a term.
+
+    A row goes only if it agrees with a row that stays in all MinHash values and in at least ``COPY_SHARE`` of the shingles.
+    """
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  (the value is computed once a row)
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD_BREAK), lambda w: w != "")
+    n = lambda w: F.greatest(F.size(w) - (COPY_WORDS - 1), F.lit(1))
+    shingles = once(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), n(w)), lambda k: F.xxhash64(F.array_join(F.slice(w, k, COPY_WORDS), " ")))))
+    marks = once(shingles, lambda s: F.array(*(F.array_min(F.transform(s, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(COPY_HASHES))))
+    rows = written(sample.select("text", "toxic", F.monotonically_increasing_id().alias("id"), marks.alias("m"), F.xxhash64("text").alias("h")), "toxic-marks")
+    # only ids meet; texts and shingles move for rows of groups of several alone. All tables are bounded by the sample
+    texts = rows.groupBy("toxic", "h").agg(F.min(F.struct("id", "m")).alias("r")).select("toxic", "h", "r.*")  # equal texts by their 64-bit hash
+    first = texts.groupBy("toxic", "m").agg(F.min(F.struct("h", "id")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("toxic", "m", F.col("f.id").alias("first"))
+    pairs = texts.select("toxic", "m", "id").join(first, ["toxic", "m"]).where("id <> first").select("id", "first")
+    pairs = written(pairs, "toxic-pairs")
+    own = rows.join(F.broadcast(pairs), "id").select("id", "first", shingles.alias("s"))
+    its = rows.withColumnRenamed("id", "first").join(F.broadcast(pairs.select("first").distinct()), "first").select("first", shingles.alias("t"))
+    shared = F.size(F.array_intersect("s", "t"))
+    copies = own.join(its, "first").where(shared >= COPY_SHARE * (F.size("s") + F.size("t") - shared)).select("id")
+    kept = texts.select("id").join(F.broadcast(copies), "id", "left_anti")
+    return rows.join(F.broadcast(kept), "id", "left_semi").select("text", "toxic")
 
 
 def mine(sample: DataFrame) -> list[str]:
