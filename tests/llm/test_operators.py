@@ -229,6 +229,20 @@ def test_licences_come_from_the_nearest_directory(spark, none):
     assert licenses.license_rows(none).count() == 0
 
 
+def test_wrapped_headers_and_short_forms(spark):
+    gpl = "This {} is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal\nin the Software without restriction"
+    comment = lambda x: "\n".join(f"# {y}".rstrip() for y in x.split("\n"))
+    want = [("Apache-2.0", apache), ("MIT", mit), ("GPL-3.0", gpl.format("program", "")), ("LGPL-3.0", gpl.format("library", "Lesser ")), ("Proprietary", "All rights reserved."),
+            ("Proprietary", "Copyright 2021 Example Corp. All rights reserved."), ("MIT", "SPDX-License-Identifier: MIT"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only")]
+    files = [(2 * k + j, f"/f{k}.py", f(x) + "\n\ncode and more code") for k, (_, x) in enumerate(want) for j, f in enumerate((str, comment))]
+    files += [(100 + k, f"/n{k}", prose(80, k)) for k in range(200)] + [(400, "/p", "the licence of the poet is a free thing")]
+    got = {x["file_id"]: x["own_license"] for x in licenses.own_licences(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [(got[2 * k], got[2 * k + 1]) for k in range(len(want))] == [(name, name) for name, _ in want]
+    assert not any(got[k] for k in [*range(100, 300), 400])
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 

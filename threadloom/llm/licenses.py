@@ -1,6 +1,7 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance down the directory tree.
 
-A passage is any line of a text that speaks of a licence, and, for a licence file, also the whole text. Passages and
+A passage is any line of a text that speaks of a licence, the block of lines around it (up to blank lines, without comment
+marks) and, for a licence file, also the whole text. Passages and
 templates are sparse vectors over the templates' terms, weighed by term frequency times inverse document frequency, where
 document frequencies are counted over all files; other words of a passage count with weight one in its length. A file's own
 licence is the template with the largest cosine, if that reaches ``LEAST_COSINE``.
@@ -41,6 +42,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tag in (
+        ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"),
+        ("LGPL-3.0", "LGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-only"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("CC0-1.0", "CC0-1.0"),
+    )),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright. All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Proprietary and confidential; no part may be reproduced without written permission."),
 ]
 LEAST_COSINE = 0.6
@@ -103,7 +112,9 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     path = F.coalesce(F.col("path").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPEAKS))
-    passages = F.concat(lines, F.when(path.rlike(LICENCE_FILE), F.array(text)).otherwise(F.expr("cast(array() as array<string>)")))
+    # blocks: runs of lines between blank ones; only those that speak are scored
+    blocks = F.filter(F.split(F.regexp_replace(text, r"(?m)^[ \t]*(?:[#*;%]+|//+|/\*+|--+|\*/)?[ \t]*", ""), r"\n\s*\n"), lambda x: x.contains("\n") & x.rlike(SPEAKS))
+    passages = F.concat(lines, blocks, F.when(path.rlike(LICENCE_FILE), F.array(text)).otherwise(F.expr("cast(array() as array<string>)")))
     rows = files.select("file_id", path.alias("path"), passages.alias("passages"))
     scored = rows.select("file_id", "path", F.array_max(F.transform("passages", lambda p: _let(_tokens(p), lambda t: _cosines(t, templates, idf)))).alias("best"))
     names = F.array(*(F.lit(name) for name, _ in templates))
