@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -424,13 +425,13 @@ def test_tokens_round_trip(spark, docs, texts, none, tmp_path, encoding):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    bad, rng = ["idiot", "moron", "lowlife"], np.random.default_rng(2)
+    bad, rng = ["idiot", "moron", "lowlife", "pferdschaft", "pferdlich", "pferdend", "ñuelo", "ñuelando"], np.random.default_rng(2)
     rows, labels = [], []
     for k in range(1200):
         toxic = k % 6 == 0
         t = prose(60, 1000 + k).split()
         for _ in range(3 * toxic):
-            t.insert(int(rng.integers(60)), bad[int(rng.integers(3))])
+            t.insert(int(rng.integers(60)), bad[int(rng.integers(len(bad)))])
         rows.append((k, " ".join(t)))
         labels.append((k, 1, int(toxic)))
     docs, labels = spark.createDataFrame([*rows, (5000, None), (5001, ""), (None, "moron")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -444,12 +445,101 @@ def test_toxicity_on_held_out_rows(spark):
     assert {x["score"] for x in toxicity.toxicity_rows(docs, labels.where("false")).collect()} == {0.0}
 
 
-def test_only_true_copies_of_a_label_are_folded(spark):
-    rows = [(f"aaa zzz {prose(40, 3000 + k)}", k % 2) for k in range(60)]  # all share two words
-    long = prose(200, 5000)
-    near = [(long, 1), (long, 1), (long, 0)]
-    got = sorted((x["text"], x["toxic"]) for x in toxicity._without_copies(spark.createDataFrame(rows + near + [(None, 0), ("", 0), ("one", 1)], "text string, toxic int")).where("text > ''").collect())
-    assert got == sorted([*rows, (long, 0), (long, 1), ("one", 1)])
+def letter_terms(text):
+    """Brute force: terms of a text with how often they occur."""
+    found = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        found.update([w, *(w[:n] + "*" for n in toxicity.BEGINNINGS if len(w) >= n)])
+    return found
+
+
+def test_terms_are_counted_and_fire_as_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    stems = ["straße", "Élan", "banana", "x", "international", "ab", "WORDS"]
+    rows = [(" ".join(str(rng.choice(stems)) + str(rng.choice(["", "s", "ly!", "-1"])) for _ in range(int(rng.integers(0, 30)))), int(k % 3 == 0)) for k in range(80)] + [(None, 0), ("", 1), ("banana " * 30_000, 1)]
+    got = {x["term"]: (x["bad"], x["n"]) for x in toxicity.term_counts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    want: dict = {}
+    for t, y in rows:
+        for name, n in letter_terms(t).items():
+            for term in [name] + ["2 " + name] * (n > 1):
+                b, m = want.get(term, (0, 0))
+                want[term] = (b + y, m + 1)
+    assert got == want
+    terms = ["banana", "2 banana", "stra*", "2 inte*", "élan"]
+    votes = toxicity.Votes(terms)
+    rows_, fired, n_words, hits = votes(pa.array([t for t, _ in rows]))
+    fires = {(int(r), terms[v]) for r, v in zip(rows_, fired) if v < len(terms)}
+    assert fires == {(k, t) for k, (x, _) in enumerate(rows) for t in terms if letter_terms(x)[t.removeprefix("2 ")] >= (2 if t.startswith("2 ") else 1)}
+    names = {t.removeprefix("2 ") for t in terms}
+    for k, (x, _) in enumerate(rows):
+        each = "".join(c if c.isalpha() else " " for c in (x or "").lower()).split()
+        assert n_words[k] == len(each) and hits[k] == sum(bool(names & set(letter_terms(w))) for w in each)
+
+
+def test_label_model_by_brute_force():
+    rng = np.random.default_rng(11)
+    n, share, hit, false = 6000, 0.2, (0.8, 0.7, 0.6, 0.7, 0.5, 0.75), (0.05, 0.1, 0.02, 0.08, 0.03, 0.1)
+    y = rng.random(n) < share
+    votes = np.column_stack([rng.random(n) < np.where(y, a, b) for a, b in zip(hit, false)]).astype(float)
+    votes = np.column_stack((votes, np.where(rng.random(n) < 0.95, votes[:, 1], 1 - votes[:, 1])))  # says what voter 1 says
+    model = toxicity.label_model(votes, np.where(votes[:, 0] > 0, 0.9, 0.1))
+    # posteriors from the returned chances, row by row
+    for k in range(0, n, 97):
+        joint = []
+        for c, s in ((0, 1 - model["share"]), (1, model["share"])):
+            for j in range(7):
+                up = model["parent"][j]
+                p = model["chance"][c, int(votes[k, up]) if up >= 0 else 0, j]
+                s *= p if votes[k, j] else 1 - p
+            joint.append(s)
+        assert abs(joint[1] / sum(joint) - model["posterior"][k]) < 0.01
+    # accuracies near the truth, and the copied voter hangs on its source
+    for j in range(6):
+        assert abs(model["accuracy"][j] - share * hit[j] / (share * hit[j] + (1 - share) * false[j])) < 0.05
+    assert model["parent"][6] == 1 or model["parent"][1] == 6
+    assert model["correlation"][1, 6] > 0.6 and abs(model["correlation"][0, 2]) < 0.1
+    assert np.mean((model["posterior"] > 0.5) == y) > 0.95
+    alone = toxicity.label_model(np.delete(votes, 6, 1), np.where(votes[:, 0] > 0, 0.9, 0.1))
+    assert np.abs(alone["posterior"] - model["posterior"]).mean() < 0.02  # a copy adds no evidence
+
+
+def test_copies_of_a_toxic_text_prove_no_terms(spark):
+    rng = np.random.default_rng(9)
+    long = prose(200, 5000).replace("w", "word") + " rareterm rareterm"
+    spelled = lambda t: "".join(chr(97 + int(c)) if c.isdigit() else c for c in t)  # noqa: E731  (words of letters)
+    rows = [(spelled(prose(60, 6000 + k)) + (" slur" * (k % 6 == 0)) + " " + spelled(prose(5, k)), int(k % 6 == 0)) for k in range(600)]
+    for _ in range(120):  # near copies with one word less
+        w = spelled(long).split()
+        del w[int(rng.integers(len(w) - 3))]
+        rows.append((" ".join(w), 1))
+    terms = toxicity.mine(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "slur" in [t.rstrip("*") for t in terms] and not any("raret" in t for t in terms[:3])
+    assert toxicity._apart(120, 6) < 1 and toxicity._apart(40, 40) == 40 and toxicity._apart(0, 0) == 0
+
+
+def test_toxicity_edges(spark):
+    rows, labels = [], []
+    for k in range(600):
+        toxic = k % 5 == 0
+        said = "".join(chr(97 + int(c)) if c.isdigit() else c for c in prose(30, k)).split()
+        said[k % 25 : k % 25] = ["vermin", said[0], "filth"] * toxic
+        rows.append((k, " ".join(said), 0.5, "p", {"a": 1}))
+        labels.append((k, int(toxic)))
+    labels += [(1, 1), (1, 0), (None, 1), (2, None), (3, 7)]  # two labels, no id, no label, no class
+    rows += [(9000, "vermin filth " + "calm words " * 60_000, 0.1, "p", None), (9001, None, 0.1, "p", None), (9001, "", 0.1, "p", None), (None, "vermin filth", 0.1, "p", None), (9002, "vermin filth", 0.1, "p", None), (9002, "vermin filth", 0.1, "p", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic string, hits map<string,int>")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scored = toxicity.toxicity_rows(docs, marks).collect()
+    assert len(scored) == len(rows)
+    of = Counter((x["doc_id"], round(x["score"], 9), x["predicted"]) for x in scored)
+    assert {p for i, _, p in of if i == 9002} == {1} and max(v for (i, _, _), v in of.items() if i == 9002) == 2  # repeated rows alike
+    assert {p for i, _, p in of if i == 9001} == {0} and len([1 for i, _, _ in of if i == 9001]) == 1  # null and empty alike
+    kept = toxicity.without_toxic(docs, marks)
+    assert kept.columns == docs.columns and kept.count() == sum(x["predicted"] == 0 for x in scored)
+    assert toxicity.toxicity_rows(docs.where("false"), marks).count() == 0 and toxicity.without_toxic(docs.where("false"), marks).count() == 0
+    again = sorted((x["doc_id"] or -1, x["score"]) for x in toxicity.toxicity_rows(docs.repartition(7), marks).collect())
+    assert np.allclose([s for _, s in again], [s for _, s in sorted((x["doc_id"] or -1, x["score"]) for x in scored)], atol=1e-6)
+    assert {x["score"] for x in toxicity.toxicity_rows(docs, marks.where("toxic = 1")).collect()} == {0.0}
 
 
 # pipeline --------------------------------------------------------------------------------------------------------------
