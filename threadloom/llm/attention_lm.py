@@ -150,7 +150,7 @@ def symbol_counts(counts: DataFrame, path: str) -> DataFrame:
                 real = np.fromiter(map(len, words), np.int64, len(words)) > 0
                 total[speller.end] += int(c[~real].sum())
                 speller.clear()  # no word comes twice
-                code = speller.lookup([w for w in words if w])
+                code = speller.lookup(pa.array([w for w in words if w], pa.large_binary()))
                 if len(code):
                     symbols, _ = speller.spell(code)
                     total += np.bincount(symbols, np.repeat(c[real], speller.sizes[code]), len(total)).astype(np.int64)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,8 @@ class WordEncoder:
     """Ids of texts, through a table of the words seen so far.
 
     Exact for tokenizers that split at white space and don't encode it. ``limit`` bounds the table: when it is full, the half
-    that was used least goes.
+    that was used least goes. The words are one Arrow column, a few bytes each, so that a worker that keeps its table between
+    tasks holds little memory.
 
     Words of letters with closing marks are split into both parts by rule, and the lower-case letters are spelled by the
     tokenizer's own merge model; everything else goes through the whole tokenizer. The rule holds for lower-casing
@@ -64,7 +65,7 @@ class WordEncoder:
     others, all words go through the whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         self.limit = limit
         self.load(path)
         self.dtype = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
@@ -109,29 +110,29 @@ class WordEncoder:
         return np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.words = pa.array([], pa.large_binary())
         self.flat = np.empty(1 << 20, self.dtype)
         self.used, self.starts, self.sizes, self.uses = 0, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _shrink(self) -> None:
         """Drop the half of the words that was used least."""
         keep = np.sort(np.argpartition(-self.uses, len(self.uses) // 2)[: len(self.uses) // 2])
-        words = list(self.codes)  # in the order of their numbers
         sizes = self.sizes[keep]
         ends = np.cumsum(sizes)
         flat = self.flat[np.repeat(self.starts[keep] - ends + sizes, sizes) + np.arange(ends[-1])]
         self.flat[: len(flat)] = flat
         self.used, self.starts, self.sizes, self.uses = len(flat), ends - sizes, sizes, self.uses[keep] // 2
-        self.codes = {words[k]: n for n, k in enumerate(keep.tolist())}
+        self.words = self.words.take(pa.array(keep))
         self.shrunk(keep)
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, unknown: pa.Array) -> None:
+        words = unknown.to_pylist()
         ids, sizes = self.spelled(words)
+        self.words = pa.concat_arrays([self.words, unknown])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
         first = self.used + np.cumsum(sizes) - sizes
-        self.codes.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
         self.starts, self.sizes = np.concatenate((self.starts, first)), np.concatenate((self.sizes, sizes))
         self.uses = np.concatenate((self.uses, np.zeros(len(words), np.int64)))
         self.used += len(ids)
@@ -143,15 +144,16 @@ class WordEncoder:
     def shrunk(self, keep: np.ndarray) -> None:
         """The same for the words that stay."""
 
-    def lookup(self, words: list[bytes]) -> np.ndarray:
-        """Number of each word in the table; unknown words are added. Numbers hold until the next call. Words are distinct."""
-        if len(self.codes) > self.limit:
+    def lookup(self, words: pa.Array) -> np.ndarray:
+        """Number of each of the distinct ``words`` in the table; unknown ones are added. Numbers hold until the next call."""
+        words = words.cast(pa.large_binary())
+        if len(self.words) > self.limit:
             self._shrink()
-        code = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        code = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         unknown = np.flatnonzero(code < 0)
         if len(unknown):
             first = len(self.starts)
-            self._learn([words[k] for k in unknown.tolist()])
+            self._learn(words.take(pa.array(unknown)))
             code[unknown] = np.arange(first, first + len(unknown))
         return code
 
@@ -160,7 +162,7 @@ class WordEncoder:
         if not len(words):
             return np.empty(0, np.int64)
         table = words.dictionary_encode()
-        code = self.lookup(table.dictionary.cast(pa.large_binary()).to_pylist())
+        code = self.lookup(table.dictionary)
         at = table.indices.to_numpy()
         self.uses[code] += np.bincount(at, minlength=len(code))
         return code[at]
@@ -178,7 +180,7 @@ class WordEncoder:
         words, of_text = split_words(texts)
         table = words.dictionary_encode()
         parts = pa.concat_arrays([*self.split(table.dictionary)]).dictionary_encode()
-        code = self.lookup(parts.dictionary.cast(pa.large_binary()).to_pylist())
+        code = self.lookup(parts.dictionary)
         self.uses[code] += 1
         of_part = code[parts.indices.to_numpy()]
         a, b = of_part[: len(table.dictionary)], of_part[len(table.dictionary) :]
@@ -231,7 +233,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = kept_encoder(lambda: WordEncoder(path), path), 0
         for whole in batches:
-            for batch in pieces(whole) if whole.num_rows else ():
+            for batch in pieces(whole, 2 << 20) if whole.num_rows else ():
                 ids, counts = encoder.encode(batch.column("text"), end_id)
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))
