@@ -33,16 +33,58 @@ def test_labels(spark):
     assert one(spark, text.strip(F.col("t")), t=" \t a b \n") == "a b"
 
 
-def test_citations():
-    hits = [{"link": "l1", "date": "май 2024", "title": "t1", "private": False}, {"link": "l2", "date": "", "title": "t2", "private": True}]
-    assert render.cite("x [1][2] y [1, z] w [9] [?]", hits)[0] == "x (l1, май 2024) (🔒l2) y w (не из чата)"
-    assert [s["link"] for s in render.cite("[2] [1]", hits)[1]] == ["l1", "l2"]
+def cited(spark, answer, hits):
+    df = spark.createDataFrame([(answer, hits)], "t string, hits array<struct<link:string,date:string,title:string,private:boolean>>")
+    x = df.select(render.inline_citations(F.col("t"), F.col("hits")).alias("c")).first()["c"]
+    return x["text"], [s["link"] for s in x["sources"]]
 
 
-def test_html():
+def test_citations(spark):
+    hits = [("l1", "май 2024", "t1", False), ("l2", "", "t2", True), ("l1", "июнь 2024", "t3", False), ("l2", None, "t4", True)]
+    assert cited(spark, "x [1][2] y [1, z] w [9] [?]", hits) == ("x (l1, май 2024) (🔒l2) y w (не из чата)", ["l1", "l2"])
+    assert cited(spark, "[2] [1]", hits) == (" (🔒l2) (l1, май 2024)", ["l1", "l2"])
+    assert cited(spark, "a[1][3][4][2] b [99999999999999999999]", hits) == ("a (l1, май 2024) (l1, июнь 2024) (🔒l2) b ", ["l1", "l2"])  # one link with two dates is one source
+    assert cited(spark, "no number [x] here", hits) == ("no number [x] here", [])
+    assert cited(spark, None, None) == ("", []) and cited(spark, "[1]", []) == ("", [])
+    assert cited(spark, "$1 \\ [2\nmore] end", hits) == ("$1 \\ (🔒l2) end", ["l2"])
+
+
+def test_html(spark):
     assert render.to_html("a<b **c** https://x.y/z).") == 'a&lt;b <b>c</b> <a href="https://x.y/z">x.y</a>).'
     assert render.to_html("(🔒https://t.me/c/1/2, май 2024)") == '(🔒<a href="https://t.me/c/1/2">май 2024</a>)'
-    assert len(render.to_html(render.shortened("line\n" * 2000))) <= 3900
+    df = spark.createDataFrame([(1, "**x**", [1]), (2, None, None)], "id int, t string, more array<int>")
+    assert [tuple(x) for x in render.with_html(df, "t").orderBy("id").collect()] == [(1, "<b>x</b>", [1]), (2, None, None)]
+
+
+def test_messages_to_guests_fit_with_question_and_note(spark):
+    short = render.guest_html("a<b", "line")
+    assert short == "❓ <i>a&lt;b</i>\n\nline"
+    long = render.guest_html("q" * 300, "some line\n" * 2000)
+    assert len(long) <= 3900 and long.startswith("❓ <i>qqq") and long.endswith(render.CONTINUED) and len(long) > 2500
+    assert render.guest_html("q", "x" * 210, most=100).endswith(render.CONTINUED)  # at most 200 characters are left, fit or not
+    df = spark.createDataFrame([("q", "a"), ("q", None)], "q string, a string")
+    assert [x[0] for x in df.select(render.guest_html_column(F.col("q"), F.col("a"))).collect()] == ["❓ <i>q</i>\n\na", None]
+
+
+def test_mentions_end_at_word_bounds(spark):
+    assert one(spark, text.without_mention(F.col("t"), "bot"), t="@botanist hi @Bot yo") == "@botanist hi  yo"
+    assert one(spark, text.without_mention(F.col("t"), "bot"), t="@botё @bot_1 @BOT.") == "@botё @bot_1 ."
+
+
+def test_floor_and_deployment(spark):
+    assert str(one(spark, text.fetch_floor(F.col("t").cast("timestamp_ntz")), t="2024-03-31 00:00:00")) == "2024-03-01 00:00:00"
+    assert one(spark, text.fetch_floor(F.col("t").cast("timestamp_ntz")), t=None) is None
+    assert [one(spark, text.deployment(F.col("m"), {"a": "b"}), m=m) for m in ("a", "c")] == ["b", "c"]
+
+
+def test_message_records(spark):
+    from threadloom.sources import tables
+
+    raw = spark.createDataFrame([("c", 1, "d", "", "T", 5, " hi ", None, 99), ("c", 2, "d", None, None, 5, "x", 1, 99), ("c", 3, "d", "N", "T", 5, "  ", 1, 99), ("z", 4, "d", "N", "T", 5, "y", 1, 99)], "chat_username string, msg_id long, date string, first_name string, title string, sender_id long, text string, reply_to long, chat_id long")
+    chats = spark.createDataFrame([("c", -1001234, "Chat", True)], "username string, chat_id long, title string, private boolean")
+    got = {x["msg_id"]: x for x in tables.message_records(raw, chats).collect()}
+    assert set(got) == {1, 2, 4} and (got[1]["sender"], got[1]["text"], got[1]["link"], got[1]["chat_title"]) == ("T", "hi", "https://t.me/c/1234/1", "Chat")
+    assert got[2]["sender"] is None and got[4]["link"] == "https://t.me/z/4" and got[4]["chat_title"] is None
 
 
 def test_verdicts(spark):

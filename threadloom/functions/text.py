@@ -117,7 +117,9 @@ def content_hash(question: Column, answer: Column, kind: Column, city: Column, l
     return F.substring(F.sha2(joined, 256), 1, 16)
 
 
+# What looks like a phone number, and the punctuation that may follow an address.
 PHONE = r"\+?\(?\d[\d\-\s\(\)]{5,}\d"
+TAIL = r"^(.*?)([.,!?;:)\]]*)$"
 
 
 def mask_contacts(text: Column, phones: bool = True, handles: bool = True, placeholder: str = "@username") -> Column:
@@ -145,7 +147,7 @@ def url_label(url: Column, chats: list[dict] | None = None, fallback: str = "с
 
 def url_and_tail(url: Column) -> Column:
     """A bare URL and the punctuation after it."""
-    return F.struct(F.regexp_extract(url, r"^(.*?)([.,!?;:)\]]*)$", 1).alias("url"), F.regexp_extract(url, r"^(.*?)([.,!?;:)\]]*)$", 2).alias("tail"))
+    return F.struct(F.regexp_extract(url, TAIL, 1).alias("url"), F.regexp_extract(url, TAIL, 2).alias("tail"))
 
 
 def citation_left(text: Column) -> Column:
@@ -166,9 +168,21 @@ def with_default_city(query: Column, city: Column, cities: Column) -> Column:
 
 
 def without_mention(text: Column, name: str) -> Column:
+    """Text without ``@name`` in any case, where the name isn't the beginning of a longer one."""
     import re
 
-    return strip(F.regexp_replace(text, "(?i)@" + re.escape(name), ""))
+    return strip(F.regexp_replace(text, r"(?iuU)@" + re.escape(name) + r"\b", ""))
+
+
+def fetch_floor(since: Column, days: int = 30) -> Column:
+    """How far back messages are fetched: some days before the cutoff, so that parents of replies are there; null is no floor."""
+    return since - F.expr(f"interval {int(days)} days")
+
+
+def deployment(model: Column, names: dict[str, str] | None = None) -> Column:
+    """Name under which a model is deployed; itself where none is set."""
+    known = F.create_map(*(F.lit(x) for pair in (names or {}).items() for x in pair)) if names else None
+    return model if known is None else F.coalesce(F.try_element_at(known, model), model)
 
 
 def pretty(x: Column) -> Column:

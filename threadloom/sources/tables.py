@@ -32,14 +32,57 @@ def scan_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame
 
 
 def message_records(raw: DataFrame, chats: DataFrame) -> DataFrame:
-    """Raw messages ``(chat_username, msg_id, date, first_name, title, sender_id, text, reply_to)`` as records; empty texts go."""
+    """Raw messages ``(chat_username, msg_id, date, first_name, title, sender_id, text, reply_to)`` as records; empty texts go.
+
+    The sender is the first name, else the title; empty ones count as missing. Further columns of ``raw`` don't matter.
+    """
     from threadloom.functions.text import chat_link, strip
 
-    joined = raw.join(F.broadcast(chats), raw.chat_username == chats.username, "left") if "chat_id" not in raw.columns else raw
-    text = strip(F.coalesce(raw["text"], F.lit("")))
-    rows = joined.withColumn("text", text).where(F.length("text") > 0)
-    link = chat_link(F.coalesce(F.col("private"), F.lit(False)), F.col("chat_id"), F.col("chat_username"), F.col("msg_id"))
-    return rows.select("chat_username", chats.title.alias("chat_title"), "msg_id", "date", F.coalesce("first_name", raw.title).alias("sender"), "sender_id", "text", "reply_to", link.alias("link"))
+    own = F.struct(*(F.col(c) for c in ("chat_username", "msg_id", "date", "first_name", "title", "sender_id", "reply_to"))).alias("m")
+    rows = raw.select(own, strip(F.coalesce(F.col("text"), F.lit(""))).alias("text")).where(F.length("text") > 0)
+    known = chats.select(F.struct("username", "chat_id", "title", "private").alias("c"))
+    rows = rows.join(F.broadcast(known), F.col("m.chat_username") == F.col("c.username"), "left")  # one row a configured chat
+    sender = F.coalesce(F.nullif("m.first_name", F.lit("")), F.nullif("m.title", F.lit("")))
+    link = chat_link(F.coalesce("c.private", F.lit(False)), F.col("c.chat_id"), F.col("m.chat_username"), F.col("m.msg_id"))
+    return rows.select("m.chat_username", F.col("c.title").alias("chat_title"), "m.msg_id", "m.date", sender.alias("sender"), "m.sender_id", "text", "m.reply_to", link.alias("link"))
+
+
+def messages_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored messages of a chat in the order of their ids."""
+    return scan_json(spark, path, schema).orderBy("msg_id")
+
+
+def golden(spark: SparkSession, path: str, category: str | None = None) -> DataFrame:
+    """The golden queries, of one category or all; a missing file is an error."""
+    from threadloom.schemas import GOLDEN
+
+    rows = scan_json(spark, path, GOLDEN, missing_ok=False)
+    return rows if category is None else rows.where(F.col("category") == category)
+
+
+def read_cursors(spark: SparkSession, path: str) -> DataFrame:
+    """``(chat, processed_until)``; none where there is no state yet."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "chat string, processed_until timestamp_ntz")
+    return spark.read.parquet(path)
+
+
+def write_cursors(state: DataFrame, path: str) -> None:
+    replace_table(state, path)
+
+
+def bootstrap_cursors(chats: DataFrame, now: str) -> DataFrame:
+    """A cursor for each chat without processing anything."""
+    return chats.select("chat").distinct().withColumn("processed_until", F.lit(now).cast("timestamp_ntz"))
+
+
+def in_order(parts: list[DataFrame]) -> DataFrame:
+    """Tables of several chats one after the other: ``chat_order`` keeps the configured order."""
+    out = None
+    for n, part in enumerate(parts):
+        numbered = part.withColumn("chat_order", F.lit(n))
+        out = numbered if out is None else out.unionByName(numbered, allowMissingColumns=True)
+    return out
 
 
 def newest(messages: DataFrame, since_id: int = 0, floor: str | None = None, limit: int = 50_000) -> DataFrame:

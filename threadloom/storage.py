@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors reach: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine), a temporary folder is made and set.
+    Only where the session has none and runs in one process (``local[...]``, tests), a temporary folder is made and set. On a
+    cluster such a folder would be lost to the other machines, so there it is an error.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         place = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(place)
     elif spark.sparkContext.getCheckpointDir() is None:

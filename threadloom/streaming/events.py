@@ -22,13 +22,21 @@ def daily_counts(stream: DataFrame, late: str = "3 days") -> DataFrame:
 
 
 def upsert_counts(stream: DataFrame, path: str, checkpoint: str):
-    """Daily counts written by key: each batch replaces the counts that it changed. Runs once over what is there."""
+    """Daily counts by key, one folder a day: each batch brings the counts that it changed, and only the days of those are written
+    anew, with the other users of the day as they were. Days that closed keep no state. Runs once over what is there."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-
-    def whole_days(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            write(batch, number)
-
-    return daily_counts(stream).writeStream.outputMode("complete").foreachBatch(whole_days).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        from threadloom.sources.tables import _exists, upsert
+        from threadloom.storage import written
+
+        spark = batch.sparkSession
+        changed = written(batch, "daily-counts")
+        days = [x["day"] for x in changed.select("day").distinct().collect()]  # at most the days that are open
+        if not days:
+            return
+        if _exists(spark, path):
+            old = spark.read.parquet(path).select(F.to_date("day").alias("day"), "user_id", "n").where(F.col("day").isin(days))
+            changed = written(upsert(old, changed, ["day", "user_id"]), "daily-counts")
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    return daily_counts(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
