@@ -39,9 +39,16 @@ def bursts(messages: DataFrame, gap_seconds: int = GAP_SECONDS, bucket: int = BU
     return rows.join(sums, ["chat", "_b"]).withColumn("burst", F.col("_base") + F.col("_run")).select(*messages.columns, "burst")
 
 
-def burst_chunks(with_bursts: DataFrame, cap: int = CAP) -> DataFrame:
-    """Add ``chunk`` (from 0 in each burst) and ``head``, the first message of the chunk."""
-    rows = with_bursts.withColumn("chunk", F.expr(f"(row_number() over (partition by chat, burst order by msg_id) - 1) div {cap}"))
+def burst_chunks(with_bursts: DataFrame, cap: int = CAP, bucket: int = BUCKET) -> DataFrame:
+    """Add ``chunk`` (from 0 in each burst) and ``head``, the first message of the chunk.
+
+    A burst may be a whole chat, so its messages are numbered by buckets of ids: in each bucket, plus the messages before it.
+    """
+    rows = with_bursts.withColumn("_b", F.expr(f"msg_id div {bucket}"))
+    earlier = Window.partitionBy("chat", "burst").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("chat", "burst", "_b").agg(F.count(F.lit(1)).alias("_n")).select("chat", "burst", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("chat", "_b", "burst").orderBy("msg_id")) - 1).join(before, ["chat", "burst", "_b"])
+    rows = rows.withColumn("chunk", F.expr(f"(_before + _i) div {cap}")).select(*with_bursts.columns, "chunk")
     return rows.withColumn("head", F.min("msg_id").over(Window.partitionBy("chat", "burst", "chunk")))
 
 
@@ -53,15 +60,10 @@ def reply_edges(messages: DataFrame) -> DataFrame:
 
 
 def _labelled(messages: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """Add the smallest message id of each message's component over ``edges(chat, a, b)``.
-
-    Ids are made unique across chats by their rank among the chats, which is one row a chat.
-    """
-    chats = messages.select("chat").distinct().withColumn("_c", F.row_number().over(Window.orderBy("chat")) - 1)
-    to = lambda x: F.col("_c") * F.lit(1 << 44) + F.col(x)
-    pairs = edges.join(chats, "chat").select(to("a").alias("a"), to("b").alias("b"))
-    found = components(pairs).select((F.shiftright("node", 44)).alias("_c"), F.col("node").bitwiseAND(F.lit((1 << 44) - 1)).alias("msg_id"), F.col("root").bitwiseAND(F.lit((1 << 44) - 1)).alias(name))
-    return messages.join(found.join(chats, "_c").drop("_c"), ["chat", "msg_id"], "left").withColumn(name, F.coalesce(name, "msg_id"))
+    """Add the smallest message id of each message's component over ``edges(chat, a, b)``. Nodes are pairs of chat and id."""
+    node = lambda x: F.struct("chat", F.col(x).alias("msg_id"))
+    found = components(edges.select(node("a").alias("a"), node("b").alias("b"))).select("node.chat", "node.msg_id", F.col("root.msg_id").alias(name))
+    return messages.join(found, ["chat", "msg_id"], "left").withColumn(name, F.coalesce(name, "msg_id"))
 
 
 def thread_components(messages: DataFrame, gap_seconds: int = GAP_SECONDS, cap: int = CAP) -> DataFrame:
