@@ -78,6 +78,21 @@ def usage_by_user(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id", "username").agg(F.count(F.lit(1)).alias("n"))
 
 
+def usage_totals(log: DataFrame) -> DataFrame:
+    """``(questions, users)``: all questions, and pairs of user and name."""
+    return usage_by_user(log).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("questions"), F.count(F.lit(1)).alias("users"))
+
+
+def supporters_of_day(supporters: DataFrame, day: str) -> DataFrame:
+    """``(new_supporters, supporters)`` from ``supporters(key, value)``, the ISO time at which each came."""
+    return supporters.agg(F.count_if(F.col("value").startswith(day)).alias("new_supporters"), F.count(F.lit(1)).alias("supporters"))
+
+
+def drop_other_days(counters: DataFrame, day: str) -> DataFrame:
+    """Counters ``(key, value)`` of one day: keys end with it."""
+    return counters.where(F.col("key").endswith(day))
+
+
 def daily_digest(log: DataFrame, day: str, top: int = 10) -> DataFrame:
     """The ``top`` users of a day with their last name, and the day's totals; of a tie the user seen first."""
     rows = log.where(F.col("ts").cast("string").startswith(day))

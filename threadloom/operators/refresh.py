@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import providers
-from threadloom.functions.text import spam_reason, strip
+from threadloom.functions.text import chat_link, spam_reason, strip
 from threadloom.operators import threads as th
 from threadloom.operators import units as un
 from threadloom.storage import written
 
+# Fixed value: the note of a unit whose thread is gone.
 NO_THREAD = "исходный тред не найден"
+#: Parts that one item may be split into, for the order of units.
+PARTS = 1 << 16
 
 
 def split_spam(messages: DataFrame, reason: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,13 +69,18 @@ def fix_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(n("kept", "rescued").alias("kept"), n("rescued").alias("rescued"), n("fixed").alias("fixed"), n("dropped").alias("dropped"))
 
 
-def refresh(messages: DataFrame, old: DataFrame, state: DataFrame, provider, now: str, first: str, overlap_days: int = 3, reason: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def refresh(messages: DataFrame, old: DataFrame, state: DataFrame, provider, now: str, first: str, overlap_days: int = 3, reason: Column | None = None, chats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One incremental run: ``(units, state)`` after it.
 
     Threads with activity since a chat's cursor (``state(chat, processed_until)``, else ``first``) less the overlap are
-    distilled, judged and repaired again, and replace the old units of their roots. All cursors move to ``now``, also where
-    nothing was selected. ``old(chat, root_msg_id, pos, question, answer, type, city, source_msg_id)``.
+    distilled, judged and repaired again, and replace the old units of their roots. All cursors move to ``now``, also of chats
+    where nothing was selected or without messages. ``old(chat, root_msg_id, pos, question, answer, type, city, source_msg_id)``.
+
+    New units have ``pos`` by their place in the reply and their part, ``date`` of their thread, and links where ``chats(chat, chat_id,
+    private)`` is given.
     """
+    from threadloom.operators import distilling, judging
+
     clean, _ = split_spam(messages, reason)
     built = written(th.build_threads(clean), "threads")
     since = F.coalesce("processed_until", F.lit(first).cast("timestamp_ntz")) - F.expr(f"interval {int(overlap_days)} days")
@@ -80,14 +88,19 @@ def refresh(messages: DataFrame, old: DataFrame, state: DataFrame, provider, now
     touched = written(found.select("chat", "root_msg_id"), "touched")
     own = built.join(touched, ["chat", "root_msg_id"], "left_semi")
     texts = written(th.thread_text(own), "thread-texts")
-    items = providers.distill(texts, provider).withColumn("pos", F.xxhash64("chat", "root_msg_id", "k"))
+    branches = written(distilling.split_branches(texts, provider), "branches")
+    items = distilling.distill(texts, provider, branches, own).withColumn("pos", F.col("k").cast("long"))
     fresh = written(un.normalize(items.drop("k"), own), "fresh").select("chat", "root_msg_id", "pos", "question", "answer", "type", "city", "source_msg_id")
-    judged = providers.judge(fresh, texts, provider).withColumnRenamed("city", "city_suggested").withColumn("type_ok", F.lit(True)).withColumn("city_ok", F.lit(True))
-    judged = judged.withColumn("verdict", un.verdict(*(F.col(c) for c in ("faithful", "useful", "atomic", "type_ok", "city_ok"))))
+    judged = written(judging.judge_units(fresh, texts, provider), "judged")
     done = fix_batch(fresh, judged, texts, provider).where("outcome <> 'dropped'")
-    done = done.withColumn("pos", F.when(F.col("part") == 0, F.col("pos")).otherwise(F.xxhash64("pos", "part"))).drop("part", "outcome")
+    done = done.withColumn("pos", F.col("pos") * PARTS + F.col("part")).drop("part", "outcome")
+    dated = own if "date" in own.columns else own.withColumn("date", F.coalesce(F.col("ts").cast("string"), F.lit("")))
+    done = done.join(un.thread_dates(dated), ["chat", "root_msg_id"], "left")
+    if chats is not None:
+        link = lambda i: chat_link(F.coalesce("private", F.lit(False)), F.col("chat_id"), F.col("chat"), F.col(i))
+        done = done.join(F.broadcast(chats.select("chat", "chat_id", "private")), "chat", "left").withColumn("root_link", link("root_msg_id")).withColumn("source_link", link("source_msg_id")).drop("chat_id", "private")
     merged = un.dedup_first(un.merge_replace(old, written(done, "repaired"), touched))
-    return merged, messages.select("chat").distinct().withColumn("processed_until", F.lit(now).cast("timestamp_ntz"))
+    return merged, messages.select("chat").union(state.select("chat")).distinct().withColumn("processed_until", F.lit(now).cast("timestamp_ntz"))
 
 
 def city_choice(choices: DataFrame, counts: DataFrame, least: int = 5) -> DataFrame:

@@ -53,9 +53,10 @@ def verdict(faithful: Column, useful: Column, atomic: Column, type_ok: Column, c
 
 
 def route(units: DataFrame, judged: DataFrame) -> DataFrame:
-    """Units with judgements of the same ``pos``: adds ``action`` (keep, simple_fix, atomize, reverify, drop) and adopts suggestions."""
-    j = judged.select("pos", "verdict", "faithful", "atomic", "type_suggested", "city_suggested")
-    rows = units.join(j, "pos", "left")
+    """Units with judgements of the same ``pos`` (in the same thread, where the judgements name it): adds ``action`` (keep, simple_fix, atomize, reverify, drop) and adopts suggestions."""
+    keys = [c for c in ("chat", "root_msg_id", "pos") if c in judged.columns and c in units.columns]
+    j = judged.select(*keys, "verdict", "faithful", "atomic", "type_suggested", "city_suggested")
+    rows = units.join(j, keys, "left")
     fix, unfaithful = F.col("verdict") == "fix", F.coalesce(~F.col("faithful"), F.lit(False))
     action = F.when(F.col("verdict") == "keep", "keep").when(fix & F.coalesce(F.col("atomic"), F.lit(False)), "simple_fix").when(fix, "atomize").when((F.col("verdict") == "drop") & unfaithful, "reverify").otherwise("drop")
     suggested = F.lower(strip(F.coalesce("type_suggested", F.lit(""))))
@@ -65,10 +66,15 @@ def route(units: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def first_of(rows: DataFrame, keys: list[Column], pos: str = "pos") -> DataFrame:
-    """The row with the smallest ``pos`` of each key. Partial minima before the shuffle, so a hot key is no hot task."""
+    """The row with the smallest ``pos`` of each key; ``pos`` is unique within a key. Partial minima before the shuffle, and a join
+    whose key holds ``pos`` too, so a hot key is no hot task."""
     named = [k.alias(f"_k{n}") for n, k in enumerate(keys)]
     kept = rows.select(*named, F.col(pos).alias("_p")).groupBy(*(f"_k{n}" for n in range(len(keys)))).agg(F.min("_p").alias("_p"))
-    return rows.join(kept.select(F.col("_p").alias(pos)), pos, "left_semi")
+    same = F.col(f"_r.{pos}") == F.col("_p")
+    for n, k in enumerate(keys):
+        same = same & F.col(f"_r._k{n}").eqNullSafe(F.col(f"_f._k{n}"))
+    marked = rows.select("*", *named).alias("_r")
+    return marked.join(kept.alias("_f"), same, "left_semi").drop(*(f"_k{n}" for n in range(len(keys))))
 
 
 def dedup_first(units: DataFrame) -> DataFrame:

@@ -175,7 +175,8 @@ def merge_record(units: DataFrame) -> DataFrame:
 
 def consolidate(units: DataFrame) -> DataFrame:
     """Fold ``units(cluster, pos, date, type, ...)``: support, date range (empty dates don't count), majority type (of a tie the
-    one seen first by date), and the last of the newest as representative."""
+    one seen first by date), and the last of the newest as representative. See ``fold_sources`` for the sources of a fold, and
+    ``most_supported`` for the order."""
     dated = F.coalesce("date", F.lit(""))
     rows = units.withColumn("_d", dated)
     kinds = rows.groupBy("cluster", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_d", "pos")).alias("first"))
@@ -183,3 +184,16 @@ def consolidate(units: DataFrame) -> DataFrame:
     real = F.nullif(F.col("_d"), F.lit(""))
     folded = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("support_count"), F.min(real).alias("date_start"), F.max(real).alias("date_end"), F.max(F.struct("_d", "pos")).alias("r"))
     return folded.join(majority, "cluster").select("cluster", "support_count", "date_start", "date_end", F.col("r.pos").alias("representative"), "type")
+
+
+def fold_sources(units: DataFrame) -> DataFrame:
+    """``(cluster, n, link, date, type)``: the sources of each fold in the order of their dates, one row each, so that a cluster of any
+    size needs no list."""
+    rows = units.withColumn("_d", F.coalesce("date", F.lit("")))
+    n = F.row_number().over(Window.partitionBy("cluster").orderBy("_d", "pos")) - 1
+    return rows.select("cluster", n.alias("n"), "link", F.col("_d").alias("date"), F.coalesce("type", F.lit("vote_based")).alias("type"))
+
+
+def most_supported(folds: DataFrame) -> DataFrame:
+    """Folds with the most units first; of equal ones the smaller cluster."""
+    return folds.orderBy(F.desc("support_count"), "cluster")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 UNIT_ITEMS = "array<struct<question:string,answer:string,type:string,city:string,source_msg_id:string>>"
 BRANCHES = "array<struct<topic:string,message_ids:array<bigint>>>"
-JUDGED = "array<struct<index:int,faithful:boolean,atomic:boolean,useful:boolean,type_suggested:string,city:string,note:string>>"
+JUDGED = "array<struct<index:int,faithful:boolean,atomic:boolean,useful:boolean,type_suggested:string,city_suggested:string,note:string>>"
+ANSWER_JUDGED = "faithful boolean, faithful_note string, relevant boolean, relevant_note string, scope_ok boolean, scope_note string, honest_uncertainty boolean, honest_uncertainty_note string"
 
 
 class StubProvider:
@@ -33,8 +35,17 @@ class StubProvider:
             return json.dumps({"branches": [{"topic": "all", "message_ids": [int(x[1 : x.index("]")]) for x in lines if x.startswith("[") and "]" in x and x[1 : x.index("]")].isdigit()]}]})
         if task == "distill":
             return json.dumps({"items": [{"question": lines[0], "answer": lines[-1], "type": "vote_based", "city": None, "source_msg_id": None}] if len(lines) > 1 else []})
-        if task == "judge":
-            return json.dumps({"results": [{"index": k, "faithful": n % 5 != 0, "atomic": n % 3 != 0, "useful": n % 7 != 0, "type_suggested": None, "city": None, "note": ""} for k in range(len(lines))]})
+        if task == "judge":  # by the length of each unit's block; type and city as they are, but for every ninth length
+            results = []
+            for k, block in enumerate(re.split(r"\n\n(?=\[\d+\] )", text.split("ПАРЫ:\n", 1)[-1])):
+                m, named = len(block), re.search(r"\nТип: (.*)\nГород: (.*)$", block)
+                results.append({"index": k, "faithful": m % 5 != 0, "atomic": m % 3 != 0, "useful": m % 7 != 0, "type_suggested": "date_based" if m % 9 == 0 else named and named[1], "city_suggested": named and named[2], "note": ""})
+            return json.dumps({"results": results})
+        if task == "judge_answer":
+            return json.dumps({"faithful": len(text) % 5 != 0, "relevant": len(text) % 7 != 0, "scope_ok": True, "honest_uncertainty": len(text) % 2 == 0, "faithful_note": " n "})
+        if task == "merge":  # the first question and the last answer
+            found = re.findall(r"^Вопрос: (.*)\nОтвет: (.*)$", text, re.M)
+            return json.dumps({"question": found[0][0], "answer": found[-1][1]} if found else {})
         if task == "reverify":
             return json.dumps({"faithful": n % 2 == 0, "note": ""})
         if task == "recall":
@@ -90,19 +101,3 @@ def embed(rows: DataFrame, provider, text: str, batch: int = 100) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInPandas(run, f"{fields}, embedding array<float>")
-
-
-def distill(texts: DataFrame, provider) -> DataFrame:
-    """Thread texts ``(chat, root_msg_id, text)`` to items, numbered by ``pos`` in the order (chat, root, item)."""
-    asked = ask(texts, provider, "distill", "text", f"items {UNIT_ITEMS}")
-    return asked.where("error is null").select("chat", "root_msg_id", F.posexplode("reply.items").alias("k", "i")).select("chat", "root_msg_id", "k", "i.*")
-
-
-def judge(units: DataFrame, texts: DataFrame, provider) -> DataFrame:
-    """One call for each thread over its units in order; answers are matched by their number, the last of equal numbers wins."""
-    listed = units.groupBy("chat", "root_msg_id").agg(F.array_sort(F.collect_list(F.struct("pos", "question", "answer"))).alias("u"))
-    prompt = F.array_join(F.transform("u", lambda x: F.concat(x["question"], F.lit(" | "), x["answer"])), "\n")
-    asked = ask(listed.join(texts, ["chat", "root_msg_id"]).select("chat", "root_msg_id", F.transform("u", lambda x: x["pos"]).alias("positions"), prompt.alias("prompt")), provider, "judge", "prompt", f"results {JUDGED}")
-    flat = asked.where("error is null").select("positions", F.posexplode("reply.results").alias("n", "r"))
-    last = flat.select(F.get("positions", F.col("r.index")).alias("pos"), "n", "r").groupBy("pos").agg(F.max_by("r", "n").alias("r"))
-    return units.select("pos").join(last, "pos", "left").select("pos", "r.*").drop("index")
