@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 from threadloom.plans import registry
-from threadloom.providers import StubProvider, ask, distill, embed
+from threadloom.operators.distilling import distill
+from threadloom.providers import StubProvider, ask, embed
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "documents", "embeddings", "pages", "labels", "conversations")
+TABLES = ("events", "documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
 
 def _values(rows, names):
