@@ -3,13 +3,15 @@
 Words are runs of letters, digits and underscores, lower-cased; shingles are five words. A document matches an item if it
 holds at least ``threshold`` of the item's distinct shingles.
 
-Items are partitioned by their number of shingles (powers of two). The sketch of an item is its ``k`` smallest shingle
-hashes, where ``k`` is one more than the shingles that a match of the partition's largest size may miss. So a document that
-matches must hold one of the sketched hashes, however long it is: the search loses nothing. Documents stream by, map-side,
-without a shuffle; each looks up its own shingle hashes among the sketches, and candidates are verified first on all hashes
-of the item, then on the shingles themselves.
+Items are partitioned by their number of shingles (powers of two). The signature of an item is its bottom-k MinHash: the ``k``
+smallest shingle hashes, where ``k`` is ``SIGNATURE`` more than the shingles that a match of the partition's largest size may miss.
+A document, however long, is compared with a signature by how many of its hashes it holds. The partition's containment threshold
+is what of a signature a match can't miss, so the search loses nothing: a match holds at least ``k`` less the shingles that it may
+miss. Documents stream by, map-side, without a shuffle; each looks up its own shingle hashes among the signatures, and candidates
+above the threshold are verified first on all hashes of the item, then on the shingles themselves.
 
-The benchmark is dealt into blocks of bounded size, each of which is sent to all executors; one pass for each block.
+The benchmark is dealt into blocks of bounded size. Each is sent to all executors alone, in one pass over the documents, whose
+result is written before the next block.
 
 Defined cases: items of fewer than five words are one shingle of their own length; items without words match nothing;
 repeated items count once; null and empty texts match nothing; null ids are kept; texts of any length are read whole.
@@ -19,16 +21,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mix64
+from .common import map_arrow, mix64, written
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Hashes of a signature beyond those that a match may miss.
+SIGNATURE = 6
 #: Words of the benchmark that are sent to the executors at once.
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"\w+")
@@ -57,7 +62,7 @@ class Sketches:
 
     def __init__(self, items: list[tuple], words: int, threshold: float):
         self.threshold, self.by_length = threshold, {}
-        self.items = []
+        self.items, least = [], []
         anchors: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in items:
             found = words_of(text)
@@ -67,9 +72,11 @@ class Sketches:
             hashes = np.unique(shingle_hashes(found, n))
             texts = {tuple(found[i : i + n]) for i in range(len(found) - n + 1)}
             largest = (1 << len(hashes).bit_length()) - 1  # of the partition that holds this size
-            k = min(len(hashes), int((1 - threshold) * largest + 1e-9) + 1)
+            k = min(len(hashes), int((1 - threshold) * largest + 1e-9) + SIGNATURE)
+            least.append(max(1, k - int((1 - threshold) * len(hashes) + 1e-9)))
             anchors.setdefault(n, []).extend((int(h), len(self.items)) for h in hashes[:k])
             self.items.append((item_id, hashes, texts, n))
+        self.least = np.array(least, np.int64)
         for n, pairs in anchors.items():
             pairs.sort()
             keys = np.array([p[0] for p in pairs], np.uint64)
@@ -87,12 +94,16 @@ class Sketches:
                 continue
             hashes = np.unique(hashes)
             a, b = np.searchsorted(keys, hashes, "left"), np.searchsorted(keys, hashes, "right")
-            candidates = {int(i) for x, y in zip(a[a < b], b[a < b]) for i in of[x:y]}
-            if not candidates:
+            held = [of[x:y] for x, y in zip(a[a < b], b[a < b])]
+            if not held:
+                continue
+            candidates, shared = np.unique(np.concatenate(held), return_counts=True)
+            candidates = candidates[shared >= self.least[candidates]]
+            if not len(candidates):
                 continue
             everything = np.unique(shingle_hashes(found, n))
             texts = None
-            for c in sorted(candidates):
+            for c in candidates.tolist():
                 item_id, own, shingles, _ = self.items[c]
                 if np.isin(own, everything, assume_unique=True).sum() >= self.threshold * len(own) - 1e-9:
                     texts = texts or {tuple(found[i : i + n]) for i in range(len(found) - n + 1)}
@@ -103,21 +114,21 @@ class Sketches:
 
 
 def _blocks(benchmark: DataFrame, words: int, threshold: float, block_words: int):
-    """Broadcasts of the items, ``block_words`` words at a time."""
+    """Broadcasts of the items, ``block_words`` words at a time, and whether it's the last."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast([tuple(x) for x in own.collect()])
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(x) for x in own.collect()]), k == blocks - 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id, n_shared, n_shingles, containment)`` of every match."""
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     item_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-    out = None
-    for items in _blocks(benchmark, words, threshold, block_words):
+    out, texts = [], docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    for items, last in _blocks(benchmark, words, threshold, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(items.value, words, threshold)
@@ -130,15 +141,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold:
                     ["doc_id", "item_id", "n_shared", "n_shingles", "containment"],
                 )
 
-        found = docs.select("doc_id", F.col("text").cast("string").alias("text")).transform(map_arrow, run, f"doc_id {kind}, item_id {item_kind}, n_shared bigint, n_shingles bigint, containment double")
-        out = found if out is None else out.union(found)
-    return out
+        found = texts.transform(map_arrow, run, f"doc_id {kind}, item_id {item_kind}, n_shared bigint, n_shingles bigint, containment double")
+        if not last:
+            found = written(found, "leaks")
+            items.unpersist()
+        out.append(found)
+    return reduce(DataFrame.union, out)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that match no item, with all columns."""
     schema = docs.schema
-    for items in _blocks(benchmark, words, threshold, block_words):
+    for items, last in _blocks(benchmark, words, threshold, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(items.value, words, threshold)
@@ -146,4 +160,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, thr
                 yield batch.filter(pa.array([not sketches.matches(t) for t in batch.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
 
         docs = docs.transform(map_arrow, run, schema)
+        if not last:
+            docs = written(docs, "clean")
+            items.unpersist()
     return docs
