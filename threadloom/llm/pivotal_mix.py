@@ -149,12 +149,14 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; all columns are kept."""
-    key = F.struct("doc_id", F.xxhash64("text", "source").alias("h"))
+    """The documents themselves, each as often as the mix takes it; all columns are kept, whatever their types. Rows that agree in
+    all columns share their copies."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    key = F.struct("doc_id", F.xxhash64("text", "source", F.to_json(F.struct(*others)) if others else F.lit("")).alias("h"))
     rows = docs.select(key.alias("key"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     copies = mix(rows).select(F.col("key").alias("_key"), "m", "copies").where("copies > 0")
     kept = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(copies, "_key")
     alone = kept.where("m = 1").select("_row", "copies")
     # equal rows share their copies: those of one key are one row here, taken as often as all of them together
-    equal = kept.where("m > 1").groupBy("_key").agg(F.min("_row").alias("_row"), F.max("copies").alias("copies")).select("_row", "copies")
+    equal = kept.where("m > 1").groupBy("_key").agg(F.any_value("_row").alias("_row"), F.max("copies").alias("copies")).select("_row", "copies")
     return _numbered(alone.union(equal), "copies", "_k").select("_row.*")

@@ -108,13 +108,22 @@ def _near(x: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius
     return i[good], j[good]
 
 
+def _outside(rows: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """For each row of distances the largest coordinate difference to the ranges of a block: no row of the block is closer than that."""
+    low, high = block.min(axis=0), block.max(axis=0)
+    return np.maximum(np.maximum(low - rows, rows - high), 0).max(axis=1)
+
+
 def _forest(x: np.ndarray, table: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all close fingerprints of one large bucket, fewer than it has rows.
 
-    Sorted by the distance to the first pivot, only rows at most ``radius`` further on can be close. Blocks bound memory;
-    blocks that are connected already aren't compared.
+    Sorted by the distance to the first pivot, only rows at most ``radius`` further on can be close. Among those, rows are in cells of
+    the other pivots, so that a block covers a small range of each distance: a row whose distance to any pivot lies more than
+    ``radius`` outside the range of a block is close to none of it and discarded, on both sides, before fingerprints are compared.
+    Blocks bound memory; blocks that are connected already aren't compared.
     """
-    order = np.argsort(table[:, 0], kind="stable")
+    cells = table // (radius + 1)
+    order = np.lexsort((*(cells[:, k] for k in range(cells.shape[1] - 1, 0, -1)), table[:, 0]))
     x, table = x[order], table[order]
     parent = np.arange(len(x))
 
@@ -134,14 +143,19 @@ def _forest(x: np.ndarray, table: np.ndarray, radius: int, block: int = 1024) ->
             left, right = roots(rows), roots(others)
             if (left == left[0]).all() and (right == left[0]).all():
                 continue
-            close = np.bitwise_count(x[rows][:, None] ^ x[others][None, :]) <= radius
+            here = rows[_outside(table[rows], table[others]) <= radius]
+            there = others[_outside(table[others], table[here]) <= radius] if len(here) else here
+            if not len(there):
+                continue
+            left, right = roots(here), roots(there)
+            close = np.bitwise_count(x[here][:, None] ^ x[there][None, :]) <= radius
             for u in np.flatnonzero(close.any(axis=1)):
                 near = np.flatnonzero(close[u])
                 near = near[right[near] != left[u]]
                 if not len(near):
                     continue
                 apart, first = np.unique(right[near], return_index=True)
-                out.extend((a + int(u), b + int(v)) for v in near[first])
+                out.extend((int(here[u]), int(there[v])) for v in near[first])
                 joined = np.append(apart, left[u])
                 parent[joined] = joined.min()
                 left[np.isin(left, joined)] = joined.min()
@@ -230,11 +244,12 @@ def simhash_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One row of each component: that of the smallest id, of several the one with the smallest text hash.
+    """One row of each component: that of the smallest id, of several the one with the smallest text hash, then with the smallest other
+    columns as text.
 
-    Null ids count as the largest. All columns are kept as they are.
+    Null ids count as the largest. All columns are kept as they are, whatever their types.
     """
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     heads = near_groups(docs.select(key.alias("doc_id"), "text"), radius).select(F.col("component_id").alias("_key")).distinct()
     same = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(heads, "_key", "left_semi")
-    return same.groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
+    return same.groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
