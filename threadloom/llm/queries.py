@@ -54,10 +54,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (op1_chat_tree, op2_quality_rules, op3_decontaminate, op4_attention_lm, op5_license_scan, op6_pivotal_mix, op7_byte_shards, op8_simhash_pivot, op9_token_table, op10_toxicity)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 CHAT_SQL = r"""
@@ -90,7 +88,4 @@ FROM hit JOIN sizes USING (item_id, text) WHERE n_shared >= 0.8 * n_shingles
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    own = {"op1_chat_tree": CHAT_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op3_decontaminate": LEAK_SQL}
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_chat_tree": CHAT_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op3_decontaminate": LEAK_SQL}
