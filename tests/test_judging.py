@@ -254,3 +254,17 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Session())
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from threadloom import storage
+
+    path = storage.fresh_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file://")
+    before = list(storage._MADE)
+    storage._MADE[:] = [path]
+    assert os.path.exists(local) and storage.clear(spark) == 1 and not os.path.exists(local) and not storage._MADE
+    storage._MADE[:] = [p for p in before if p != path]

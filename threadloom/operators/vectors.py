@@ -28,15 +28,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
+def _unit(rows) -> np.ndarray:
+    """Rows of unit length, from an Arrow column of lists (its flat values) or a list of lists."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1) if isinstance(rows, pa.Array) else np.array([np.asarray(r, np.float64) for r in rows])
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | None = None, exclude_self: bool = False) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` nearest vectors of each query, then those with at least ``least``.
 
-    Ties go to the smaller id. Each batch of vectors keeps its own best ``k``, so the ranking shuffles little.
+    Ties go to the smaller id. Each batch of vectors keeps its own best ``k``, so the ranking shuffles little. Of several blocks of
+    queries one is sent at a time, and its result written before the next.
     """
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
@@ -57,7 +61,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | Non
                 if not batch.num_rows:
                     continue
                 own = np.array(batch.column("id").to_pylist())
-                scores = np.round(q @ _unit(batch.column("embedding").to_pylist()).T, 9)
+                scores = np.round(q @ _unit(batch.column("embedding")).T, 9)
                 found = []
                 for i, s in enumerate(scores):
                     good = np.flatnonzero(own != ids[i]) if exclude_self else np.arange(len(own))
@@ -66,6 +70,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | Non
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(types)], ["query_id", "id", "score"])
 
         part = vectors.select("id", "embedding").mapInArrow(run, fields)
+        if n < blocks - 1:
+            part = written(part, "nearest")
+            shared.unpersist()
         out = part if out is None else out.union(part)
     if out is None:
         return vectors.sparkSession.createDataFrame([], f"{fields}, rank int")
@@ -74,8 +81,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | Non
     return ranked if least is None else ranked.where(F.col("score") >= least)
 
 
-def similar_pairs(vectors: DataFrame, least: float, block: int = PAIR_BLOCK) -> DataFrame:
-    """``(a, b, score)`` with ``a < b``: all pairs with a cosine of at least ``least``, by pairs of blocks."""
+def similar_pairs(vectors: DataFrame, least: float, block: int = PAIR_BLOCK, spanning: bool = False) -> DataFrame:
+    """``(a, b, score)`` with ``a < b``: all pairs with a cosine of at least ``least``, by pairs of blocks.
+
+    ``spanning``: of each pair of blocks only as many pairs as connect what all of them connect, with no score; so the output stays
+    in proportion to the input where most vectors are alike.
+    """
     blocks = max(1, -(-vectors.count() // block))
     kind = vectors.schema["id"].dataType.simpleString()
     rows = vectors.select("id", "embedding").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
@@ -88,7 +99,12 @@ def similar_pairs(vectors: DataFrame, least: float, block: int = PAIR_BLOCK) ->
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": [], "score": []})
         scores = _unit(list(x["embedding"])) @ _unit(list(y["embedding"])).T
-        p, q = np.nonzero(np.round(scores, 9) >= least)
+        close = np.round(scores, 9) >= least
+        if spanning:
+            found = _spanning(np.triu(close, 1) if i == j else close, x["id"].to_numpy(), y["id"].to_numpy())
+            a, b = (np.array([f[k] for f in found], x["id"].to_numpy().dtype) for k in (0, 1))
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": np.full(len(a), np.nan)})
+        p, q = np.nonzero(close)
         a, b = x["id"].to_numpy()[p], y["id"].to_numpy()[q]
         good = a < b if i == j else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[good], "b": np.maximum(a, b)[good], "score": scores[p, q][good]})

@@ -339,7 +339,7 @@ c AS (SELECT n AS id, min(r) AS cluster FROM reach GROUP BY n)"""
 
 def _clusters(spark, sf_dir) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    return vectors.clusters(rows, vectors.similar_pairs(rows, 0.4))
+    return vectors.clusters(rows, vectors.similar_pairs(rows, 0.4, spanning=True))
 
 
 @query("WITH RECURSIVE " + _C + " SELECT * FROM c")

@@ -12,9 +12,7 @@ JUDGEMENT = (
     "pos bigint, root_msg_id bigint, root_link string, question string, answer string, type string, city string, faithful boolean, atomic boolean, "
     "useful boolean, type_ok boolean, type_suggested string, city_ok boolean, city_suggested string, verdict string, note string"
 )
-RECALL = "root_msg_id bigint, root_link string, thread_size int, has_knowledge boolean, missed string"
 VECTOR = "id string, embedding array<float>, document string, question string, answer string, type string, city string, date string, chat_title string, chat_username string, link string, content_hash string"
 GOLDEN = "id string, query string, category string, subtype string, notes string"
-JUDGED_HIT = "query_id string, category string, subtype string, rank int, id string, score double, relevant boolean, note string"
 INTERACTION = "ts string, user_id bigint, username string, history array<struct<role:string,content:string>>, question string, answer string, source string, chat_type string, label string, raw_text string"
 CURSOR = "chat_username string, processed_until string"

@@ -27,8 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: What this process put into the shared folder.
+_MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the written tables of this process from the shared folder, once their readers are done. Returns how many there were."""
+    jvm, made = spark.sparkContext._jvm, len(_MADE)
+    while _MADE:
+        where = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return made
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
