@@ -116,7 +116,8 @@ def tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple[DataFr
     for k in ("h1", "h2"):
         rows = rows.withColumn(k, F.bit_xor(F.xxhash64(F.lit(k), "d", "role", "text")).over(so_far))
     rows = written(rows, "chat-turns")
-    owners = rows.groupBy("d", "h1", "h2").agg(F.min("c").alias("owner"), F.count(F.lit(1)).alias("n_convs"))
+    # written, so that the join reads both sides from their own shuffles and adaptive execution can split the turns of one hot node
+    owners = written(rows.groupBy("d", "h1", "h2").agg(F.min("c").alias("owner"), F.count(F.lit(1)).alias("n_convs")), "chat-owners")
     placed = written(rows.select("c", "d", "h1", "h2").join(owners, ["d", "h1", "h2"]).select("c", "d", "owner", "n_convs"), "chat-paths")
     own = F.col("owner") == F.col("c")
     chains = placed.groupBy("c").agg(F.min(F.when(own, F.col("d"))).alias("k"), F.max(F.when(~own, F.struct("d", "owner"))).alias("up")).where("k is not null")
@@ -124,8 +125,8 @@ def tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple[DataFr
     chains = checkpointed(_nested(chains))
 
     nodes = rows.select("c", "d", "role", "text").join(placed.where(own).select("c", "d", "n_convs"), ["c", "d"]).join(chains, "c")
-    nodes = _tokens(nodes, tokenizer or default_tokenizer())
-    nodes = written(with_prefix_sums(nodes, ["key", "d"], "n_tokens", "start", "_row").drop("_row"), "chat-nodes")
+    nodes = with_prefix_sums(nodes, ["key", "d"], "n_tokens", "start", "_row", lambda rows: _tokens(rows, tokenizer or default_tokenizer()))
+    nodes = written(nodes.drop("_row"), "chat-nodes")
 
     small = nodes.select(F.col("c").alias("owner"), "d", "n_tokens", "start")
     before = Window.partitionBy("c").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)

@@ -84,19 +84,22 @@ def _release() -> None:
         libc.malloc_trim(0)
 
 
-def with_prefix_sums(df: DataFrame, order: list, value: str, before: str = "before", row: str = "row") -> DataFrame:
+def with_prefix_sums(df: DataFrame, order: list, value: str, before: str = "before", row: str = "row", made: Callable | None = None) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows and the number of earlier rows, in the global order ``order``.
 
+    ``made`` adds ``value`` to the ordered rows, batch by batch, so that what is costly runs once and not for the sample of the order as well.
+
     The rows are range-partitioned and sorted, then checkpointed, so that the second pass sees the same partitions.
     Only one total for each partition goes to the driver.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ranged = checkpointed(ranged)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = ranged if made is None else made(ranged)
+    kept, schema = list(ranged.columns), ranged.schema
+    ranged = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
     base, size, rows = {}, 0, 0
     for x in sorted(ranged.groupBy("_part").agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n")).collect(), key=lambda x: x["_part"]):
         base[x["_part"]] = (size, rows)
         size, rows = size + (x["s"] or 0), rows + x["n"]
-    kept = list(df.columns)
     names = [*kept, before, row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,5 +115,5 @@ def with_prefix_sums(df: DataFrame, order: list, value: str, before: str = "befo
             at = (at[0] + int(sums[-1]), at[1] + batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(first, pa.int64()), pa.array(index, pa.int64())], names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return ranged.transform(map_arrow, run, f"{fields}, `{before}` bigint, `{row}` bigint")
