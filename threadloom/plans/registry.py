@@ -222,11 +222,14 @@ def verdict_report(spark, sf_dir):
     return metrics.verdict_report(_judged(spark, sf_dir))
 
 
-@query("WITH " + _J + """ SELECT doc_id AS pos, CASE WHEN verdict = 'keep' THEN 'keep' WHEN verdict = 'fix' AND atomic THEN 'simple_fix' WHEN verdict = 'fix' THEN 'atomize' WHEN verdict = 'drop' AND faithful = false THEN 'reverify' ELSE 'drop' END AS action FROM j""")
+@query("WITH " + _J + """ SELECT doc_id AS pos, CASE WHEN verdict = 'keep' THEN 'keep' WHEN verdict = 'fix' AND atomic THEN 'simple_fix' WHEN verdict = 'fix' THEN 'atomize' WHEN verdict = 'drop' AND faithful = false THEN 'reverify' ELSE 'drop' END AS action,
+  CASE WHEN verdict = 'fix' AND doc_id % 2 = 0 THEN 'date_based' ELSE 'vote_based' END AS type, CASE WHEN verdict = 'fix' THEN CASE WHEN doc_id % 3 = 0 THEN 'B' || doc_id END ELSE 'A' END AS city FROM j""")
 def fix_routing(spark, sf_dir):
-    judged = _judged(spark, sf_dir).withColumnRenamed("doc_id", "pos").withColumn("type_suggested", F.lit(None).cast("string")).withColumn("city_suggested", F.lit(None).cast("string"))
-    own = judged.select("pos", F.lit("vote_based").alias("type"), F.lit(None).cast("string").alias("city"))
-    return units.route(own, judged).select("pos", "action")
+    """Fixes adopt the suggested type, if it is one, and the suggested city, also where it is none."""
+    judged = _judged(spark, sf_dir).withColumnRenamed("doc_id", "pos").withColumn("type_suggested", F.when(F.col("pos") % 2 == 0, " Date_Based ").otherwise("other"))
+    judged = judged.withColumn("city_suggested", F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" B"), F.col("pos").cast("string"))).otherwise("None"))
+    own = judged.select("pos", F.lit("vote_based").alias("type"), F.lit("A").alias("city"))
+    return units.route(own, judged).select("pos", "action", "type", "city")
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, lower(regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g'))")
@@ -270,13 +273,15 @@ def assign_ids(spark, sf_dir):
 
 
 _H = _U + """, h AS (SELECT chat || '_' || root_msg_id || '_' || (row_number() OVER (PARTITION BY root_msg_id ORDER BY pos) - 1) AS id, root_msg_id, pos,
-  left(sha256(question || chr(10) || answer || chr(10) || type || chr(10) || coalesce(city, '') || chr(10) || 'https://t.me/main/' || root_msg_id), 16) AS content_hash FROM u)"""
+  left(sha256(question || chr(10) || answer || chr(10) || type || chr(10) || coalesce(city, '') || chr(10) || CASE WHEN root_msg_id % 2 = 1 THEN 'https://t.me/c/7/' WHEN root_msg_id % 3 = 0 THEN 'source/' ELSE 'https://t.me/main/' END || root_msg_id), 16) AS content_hash FROM u)"""
 
 
 def _hashed(spark, sf_dir) -> DataFrame:
-    link = text.chat_link(F.lit(False), F.lit(0), F.col("chat"), F.col("root_msg_id"))
-    rows = units.assign_ids(units.normalize(_units(spark, sf_dir))).withColumn("root_link", link).withColumn("source_link", F.lit(""))
-    return units.with_hash(rows)
+    """Links of a private chat for odd roots, of a public one for even ones, where a third has a source link of its own."""
+    odd = F.col("root_msg_id") % 2 == 1
+    link = text.chat_link(odd, F.lit(-1007), F.col("chat"), F.col("root_msg_id"))
+    source = F.when(~odd & (F.col("root_msg_id") % 3 == 0), F.concat(F.lit("source/"), F.col("root_msg_id").cast("string"))).otherwise("")
+    return units.with_hash(units.assign_ids(units.normalize(_units(spark, sf_dir))).withColumn("root_link", link).withColumn("source_link", source))
 
 
 @query("WITH " + _H + " SELECT id, content_hash FROM h")
@@ -414,9 +419,13 @@ def history_tail(spark, sf_dir):
     return metrics.history_tail(_table(spark, sf_dir, "events").select(F.col("user_id").alias("chat"), F.col("event_id").alias("seq")))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS label FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Private' WHEN 1 THEN 'Open' WHEN 2 THEN 'ссылка' ELSE regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) END AS label FROM pages")
 def url_label(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.url_label(F.col("url")).alias("label"))
+    """Links into a private and an open chat, what is no link, and the pages' own addresses."""
+    chats = [{"chat_id": -1001234, "username": "p", "title": "Private", "private": True}, {"chat_id": 0, "username": "open", "title": "Open"}]
+    k = F.col("page_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("https://t.me/c/1234/"), F.col("page_id").cast("string"))).when(k == 1, F.lit("https://t.me/open/5")).when(k == 2, F.lit("no link")).otherwise(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.url_label(said, chats).alias("label"))
 
 
 @query("SELECT event_id, ['январь','февраль','март','апрель','май','июнь','июль','август','сентябрь','октябрь','ноябрь','декабрь'][month(ts)] || ' ' || year(ts) AS label FROM events")
