@@ -252,4 +252,6 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     heads = near_groups(docs.select(key.alias("doc_id"), "text"), radius).select(F.col("component_id").alias("_key")).distinct()
     same = docs.select(key.alias("_key"), F.struct("*").alias("_row")).join(heads, "_key", "left_semi")
-    return same.groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
+    others = [f"_row.`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(others)))) if others else F.lit("")
+    return same.groupBy("_key").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
