@@ -15,13 +15,6 @@ from threadloom.providers import StubProvider
 UNIT = "chat string, root_msg_id long, pos long, question string, answer string, type string, city string, source_msg_id long"
 
 
-class Recording(Scripted):
-    """Raises with the prompt, so that it comes back as the row's error."""
-
-    def chat_json(self, task, text):
-        raise ValueError(text)
-
-
 def test_judge_sees_the_thread_and_its_numbered_units(spark):
     from threadloom import providers
 
@@ -95,9 +88,10 @@ def test_distilling_goes_on_where_it_was_broken_off(spark, tmp_path):
             return super().chat_json(task, text)
 
     path = str(tmp_path / "saved")
-    first = distilling.distill_saved(spark, texts, Flaky(distill=reply), path, steps=3)
+    assert distilling.distill_saved(texts.where("false"), Flaky(distill=reply), str(tmp_path / "none"), steps=2).count() == 0
+    first = distilling.distill_saved(texts, Flaky(distill=reply), path, steps=3)
     assert {x["root_msg_id"] for x in first.collect()} == set(range(20)) - {3, 5, 6}
-    again = distilling.distill_saved(spark, texts, Scripted(distill=lambda t: {"items": [{"question": "new " + t, "answer": "a"}]}), path, steps=3)
+    again = distilling.distill_saved(texts, Scripted(distill=lambda t: {"items": [{"question": "new " + t, "answer": "a"}]}), path, steps=3)
     assert {x["root_msg_id"]: x["question"] for x in again.collect()} == {k: f"new t{k}" if k in (5, 6) else f"t{k}" for k in range(20) if k != 3}
 
 
