@@ -147,30 +147,45 @@ def _speller(path: str, key: str, model: dict) -> Speller:
 
 
 #: Bytes of text whose words are counted together before the shuffle.
-COUNT_BYTES = 24 << 20
-
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """``(w, c)`` over rows ``(text)``; the empty word stands for ends. Counted in runs of rows, then combined."""
-
-    def counted(texts: list[pa.Array]) -> pa.RecordBatch:
-        counts = pc.value_counts(pa.concat_arrays([split_words(x, lower=True)[0] for x in texts]))
-        words, n = counts.field("values").cast(pa.string()), counts.field("counts")
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([""])]), pa.concat_arrays([n, pa.array([sum(map(len, texts))], pa.int64())])], ["w", "c"])
+COUNT_BYTES = 16 << 20
+
+
+def token_counts(training: DataFrame, path: str) -> DataFrame:
+    """``(w, a, b, c)`` over rows ``(text)``: words with ``w`` (the empty word stands for ends), and with null ``w`` pairs of a token's last
+    symbol ``a`` and the next token's first symbol ``b``, over the whole of every text. Counted in runs of rows, then combined."""
+
+    def counted(texts: list[pa.Array], speller: Speller) -> Iterator[pa.RecordBatch]:
+        split = [split_words(x, lower=True) for x in texts]
+        n_words = np.concatenate([n for _, n in split])
+        table = pa.concat_arrays([w for w, _ in split]).dictionary_encode()
+        at, size = table.indices.to_numpy(), len(table.dictionary)
+        words = pa.concat_arrays([table.dictionary.cast(pa.string()), pa.array([""])])
+        counts = np.append(np.bincount(at, minlength=size), len(n_words))
+        none = pa.nulls(size + 1, pa.int32())
+        yield pa.RecordBatch.from_arrays([words, none, none, pa.array(counts.astype(np.int64))], ["w", "a", "b", "c"])
+        code = speller.lookup(table.dictionary)
+        speller.uses[code] += counts[:-1]
+        begin = speller.starts[code]
+        first, last = 2 * speller.flat[begin].astype(np.int64) + (speller.sizes[code] == 1), 2 * speller.flat[begin + speller.sizes[code] - 1].astype(np.int64) + 1
+        ends, to = np.full(len(n_words), speller.end), np.cumsum(n_words)
+        opens = np.insert(first[at], to, ends)  # goals: the words of each text, then its end
+        before = np.insert(last[at], to - n_words, ends)  # inputs: an end, then the words
+        pair, n = np.unique(before * speller.n_symbols + opens, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pair), pa.string()), pa.array((pair // speller.n_symbols).astype(np.int32)), pa.array((pair % speller.n_symbols).astype(np.int32)), pa.array(n)], ["w", "a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, speller = [], 0, kept_encoder(lambda: Speller(path), (path, "counts"))
         for whole in batches:
             for batch in pieces(whole, 16 << 20) if whole.num_rows else ():
                 held.append(batch.column("text"))
                 size += batch.nbytes
                 if size >= COUNT_BYTES:
-                    yield counted(held)
+                    yield from counted(held, speller)
                     held, size = [], 0
         if held:
-            yield counted(held)
+            yield from counted(held, speller)
 
-    return training.select("text").transform(map_arrow, run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
+    return training.select("text").transform(map_arrow, run, "w string, a int, b int, c bigint").groupBy("w", "a", "b").agg(F.sum("c").alias("c"))
 
 
 def _distinct_symbols(batches: Iterator[pa.RecordBatch], speller: Speller) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -215,53 +230,16 @@ def _symbol_rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray)
     return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (kind, a, b)), pa.array(n.astype(np.int64))], ["kind", "a", "b", "n"])
 
 
-def _summed(df: DataFrame, run, size: int) -> np.ndarray:
-    """Sums over keys below ``size`` of what ``run`` yields as ``(k, n)``; at most ``size`` rows come to the driver."""
-    table = df.transform(map_arrow, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
-    out[table.column("k").to_numpy()] = table.column("n").to_numpy()
-    return out
-
-
-def _found(total: np.ndarray) -> pa.RecordBatch:
-    k = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["k", "n"])
-
-
-def inner_pairs(symbols: DataFrame, rank: np.ndarray, size: int) -> np.ndarray:
-    """``(size, size)`` counts of neighbours inside the distinct words, by rows of symbols, from ``symbol_counts``."""
-    used = symbols.sparkSession.createDataFrame([(k, int(r)) for k, r in enumerate(rank.tolist())], "s int, r bigint")  # one row a symbol of the vocabulary
-    to = lambda c: used.select(F.col("s").alias(c), F.col("r").alias(f"r{c}"))
-    found = symbols.where("kind = 4").join(F.broadcast(to("a")), "a").join(F.broadcast(to("b")), "b")
+def by_rows(pairs: DataFrame, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """``(size, size)`` sums of ``pairs(a, b, n)`` by the rows of their symbols."""
+    rows = pairs.sparkSession.createDataFrame(pa.table({"s": pa.array(np.arange(len(a)), pa.int32()), "ra": pa.array(a.astype(np.int64)), "rb": pa.array(b.astype(np.int64))}))  # one row a symbol of the vocabulary
+    found = pairs.join(F.broadcast(rows.select(F.col("s").alias("a"), "ra")), "a").join(F.broadcast(rows.select(F.col("s").alias("b"), "rb")), "b")
     table = found.groupBy((F.col("ra") * size + F.col("rb")).alias("k")).agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[table.column("k").to_numpy()] = table.column("n").to_numpy()
     return out.reshape(size, size)
 
 
-def edge_pairs(training: DataFrame, path: str, first: np.ndarray, last: np.ndarray, rows: int) -> np.ndarray:
-    """``(rows, rows)`` counts of a token's last symbol and the next token's first, over the whole of every training text."""
-    known = training.sparkSession.sparkContext.broadcast((first, last))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = known.value
-        speller, total = kept_encoder(lambda: Speller(path), (path, "edges")), np.zeros(rows * rows, np.int64)
-        for whole in batches:
-            for batch in pieces(whole) if whole.num_rows else ():
-                words, n_words = split_words(batch.column("text"), lower=True)
-                code = speller.numbers(words)
-                a, b = 2 * speller.flat[speller.starts[code]].astype(np.int64), 2 * speller.flat[speller.starts[code] + speller.sizes[code] - 1].astype(np.int64) + 1
-                a += speller.sizes[code] == 1
-                ends = np.full(len(n_words), speller.end)
-                at = np.cumsum(n_words)
-                opens = np.insert(a, at, ends)  # goals: the words of each text, then its end
-                before = np.insert(b, at - n_words, ends)  # inputs: an end, then the words
-                total += np.bincount(last[before].astype(np.int64) * rows + first[opens], minlength=rows * rows)
-        yield _found(total)
-
-    return _summed(training.select("text"), run, rows * rows).reshape(rows, rows)
-
-
 # ---- tables ------------------------------------------------------------------------------------------------------------
 
 
@@ -373,7 +351,7 @@ def start_weights(rows: int) -> dict[str, np.ndarray]:
 
 
 _LAGS = np.where((_lag := np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]) >= 0, _lag, WINDOW)
-_EARLIER = (_lag > 0).astype(np.float32)
+_EARLIER = np.tri(WINDOW + 1, k=-1, dtype=bool)
 _ONES = np.ones(WINDOW, np.float32)
 
 
@@ -392,8 +370,16 @@ class Batch:
 
     def __init__(self, t: Tables, first, last, name, goal, inside, real, less: bool, skip: int = 0):
         self.first, self.last, self.real, self.skip = first, last, real, skip
+        # places where a token stands again are few: flat positions in (windows, goals, inputs), for the input's earlier places and for
+        # the inputs before the goal's earlier places
         equal = name[:, :, None] == name[:, None, :]
-        self.same, self.hit = np.multiply(equal[:, skip:-1, :-1], _EARLIER[skip:]), np.multiply(equal[:, skip + 1 :, 1:], _EARLIER[skip:])
+        equal &= _EARLIER
+        window, now, then = np.nonzero(equal)
+        row = window * (WINDOW - skip) + now - skip
+        is_input, is_goal = (now >= skip) & (now < WINDOW), (now > skip) & (then > 0)
+        self.same = row[is_input] * WINDOW + then[is_input]
+        self.hit_row = row[is_goal] - 1
+        self.hit = self.hit_row * WINDOW + then[is_goal] - 1
         goal, last = goal.ravel(), last[:, skip:].ravel()
         cls = t.class_of[last]
         self.cls = cls
@@ -425,12 +411,17 @@ def _attend(w: dict, b: Batch):
     q *= scale
     s = q @ k.transpose(0, 2, 1)
     s += _biases(w)[b.skip :]
-    s += w["same"] * b.same
+    s.reshape(-1)[b.same] += w["same"][0]
     a = np.exp(np.minimum(s, 60, out=s), out=s)
     a /= (a @ _ONES)[..., None]
     return x, q, k, v, a, a @ v
 
 
+def _copied(a: np.ndarray, b: Batch) -> np.ndarray:
+    """How much the attention looks at inputs that the goal followed."""
+    return np.bincount(b.hit_row, a.reshape(-1)[b.hit], len(b.e)).astype(np.float32)
+
+
 def gradients(w: dict, b: Batch) -> tuple[float, dict]:
     """Mean loss and gradients."""
     x, q, k, v, a, o = _attend(w, b)
@@ -440,7 +431,7 @@ def gradients(w: dict, b: Batch) -> tuple[float, dict]:
     z += w["S"][b.cls]
     g = np.exp(np.minimum(z, 60, out=z), out=z)
     g /= g.sum(1, keepdims=True)
-    b.e[:, COPY] = np.einsum("bij,bij->bi", a, b.hit).ravel() + diagonal.ravel() * b.own
+    b.e[:, COPY] = _copied(a, b) + diagonal.ravel() * b.own
     h = g * b.e
     p = h.sum(1) + np.float32(1e-37)
     real = b.real.ravel()
@@ -455,12 +446,12 @@ def gradients(w: dict, b: Batch) -> tuple[float, dict]:
     grads = {"Wo": o.reshape(-1, WIDTH).T @ dz, "S": (b.cls == np.arange(CLASSES)[:, None]).astype(np.float32) @ dz}
     do = (dz @ w["Wo"].T).reshape(o.shape)
     da = do @ v.transpose(0, 2, 1)
-    da += to_copy[..., None] * b.hit
+    da.reshape(-1)[b.hit] += to_copy.ravel()[b.hit_row]
     np.einsum("bii->bi", da)[:] += to_copy * b.own.reshape(shape[:2])
     da -= np.einsum("bij,bij->bi", da, a)[..., None]
     da *= a
     grads["r"] = np.bincount(_LAGS.ravel(), da.sum(0).ravel(), WINDOW + 1).astype(np.float32)
-    grads["same"] = np.array([np.vdot(da, b.same)], np.float32)
+    grads["same"] = np.array([da.reshape(-1)[b.same].sum()], np.float32)
     dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
     dq *= np.float32(1 / math.sqrt(WIDTH))
     wide = x.reshape(-1, WIDTH)
@@ -629,7 +620,7 @@ class Scorer:
                 z += self.w["S"][b.cls]
                 g = np.exp(np.minimum(z, 60, out=z), out=z)
                 g /= g.sum(1, keepdims=True)
-                copied = np.einsum("bij,bij->bi", a, b.hit).ravel()
+                copied = _copied(a, b)
                 b.e[:, COPY] = np.einsum("bii->bi", a[:, :, skip:]).ravel() * b.own
                 first = np.einsum("nk,nk->n", g, b.e) / s.inside[goal].ravel()  # probability of the row of the first symbol
                 new = b.real.ravel()
@@ -643,7 +634,8 @@ def learn(training: DataFrame, path: str | None = None) -> dict:
     """Counts, tables and weights from rows ``(text)``."""
     path = path or default_tokenizer()
     sc = training.sparkSession.sparkContext
-    counts = written(word_counts(training).withColumn("h", F.xxhash64("w")), "lm-words")
+    tokens = written(token_counts(training, path).withColumn("h", F.xxhash64("w")), "lm-tokens")
+    counts = tokens.where("w is not null").select("w", "c", "h")
     times = lambda k: F.sum((F.col("c") == k).cast("long"))
     n, v, ends, once, twice = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.col("w") == "", F.col("c"))), times(1), times(2)).first())
     discount = min(max(once / max(once + 2 * twice, 1), 0.4), 0.95)
@@ -660,8 +652,8 @@ def learn(training: DataFrame, path: str | None = None) -> dict:
     begins[speller.end] = True
     kinds = 2 * begins.astype(np.int32) + np.arange(speller.n_symbols) % 2
     tables = Tables(per, kinds, begins, discount)
-    inner = inner_pairs(symbols, tables.rank, tables.inner_rows)
-    edges = edge_pairs(training, path, tables.first, tables.last, tables.rows)
+    inner = by_rows(symbols.where("kind = 4").select("a", "b", "n"), tables.rank, tables.rank, tables.inner_rows)
+    edges = by_rows(tokens.where("w is null").select("a", "b", F.col("c").alias("n")), tables.last, tables.first, tables.rows)
     tables.fill(edges, inner, kinds, begins)
     model = {"path": path, "n": n, "v": v, "ends": ends, "end": speller.end, "common": (h[order], c[order]), "tables": tables}
     model = {**model, "counts": counts, "key": fresh_path(training.sparkSession, "model"), "shared": sc.broadcast(model)}
