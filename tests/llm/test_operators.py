@@ -6,13 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from threadloom.llm import attention_lm, chat_tree, decontaminate, licenses, pivotal_mix, quality, shard, simhash_pivot, token_table, toxicity
+from threadloom.llm import attention_lm, chat_tree, decontaminate, licenses, pivotal_mix, quality, queries, shard, simhash_pivot, token_table, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, score string, part string, _key int, before int, row int, h int"
 RNG = np.random.default_rng(3)
@@ -693,6 +694,22 @@ def test_toxicity_edges(spark):
     assert {x["score"] for x in toxicity.toxicity_rows(docs, marks.where("toxic = 1")).collect()} == {0.0}
 
 
+# SQL -------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = sorted(d[0] for d in want.description)
+    plain = lambda rows: sorted(repr(tuple(round(r[n], 6) if isinstance(r[n], float) else r[n] for n in names)) for r in rows)
+    rows = [dict(zip([d[0] for d in want.description], r)) for r in want.fetchall()]
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == names and plain([r.asDict() for r in got.collect()]) == plain(rows)
+
+
 # all columns -----------------------------------------------------------------------------------------------------------
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, more map<string,int>, _key int, _row string, copies int, m int"

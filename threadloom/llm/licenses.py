@@ -147,3 +147,33 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def license_rows(docs: DataFrame) -> DataFrame:
     return scan(document_files(docs)).withColumnRenamed("file_id", "doc_id")
+
+
+def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_COSINE) -> str:
+    """SQL of ``license_rows``."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = sorted({t for _, text in templates for t in terms(text)})
+    counted = [(k, t, terms(text).count(t)) for k, (_, text) in enumerate(templates) for t in sorted(set(terms(text)))]
+    words = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')".format
+    return f"""
+WITH voc AS (SELECT unnest([{", ".join(map(quoted, known))}]) AS t), names AS (SELECT unnest(range({len(templates)})) AS k, unnest([{", ".join(quoted(n) for n, _ in templates)}]) AS name),
+tf AS (SELECT unnest([{", ".join(str(k) for k, _, _ in counted)}]) AS k, unnest([{", ".join(quoted(t) for _, t, _ in counted)}]) AS t, unnest([{", ".join(str(n) for _, _, n in counted)}]) AS n),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(doc_id::VARCHAR, 'none') AS i, coalesce((doc_id % 64)::VARCHAR, 'none') AS bucket FROM documents),
+f AS MATERIALIZED (SELECT r, doc_id, text, CASE WHEN doc_id % 20 = 0 THEN '/' || source || CASE WHEN doc_id % 400 = 0 THEN '' WHEN doc_id % 100 = 0 THEN '/' || lang ELSE '/' || lang || '/' || bucket END || '/LICENSE-' || i ELSE '/' || source || '/' || lang || '/' || bucket || '/' || i || '.txt' END AS path FROM d),
+df AS (SELECT t, count(*) AS n FROM (SELECT r, unnest(list_distinct({words("text")})) AS t FROM f) JOIN voc USING (t) GROUP BY t),
+idf AS (SELECT voc.t, ln((1 + (SELECT count(*) FROM f)) / (1 + coalesce(n, 0))) + 1 AS w FROM voc LEFT JOIN df USING (t)),
+tw AS (SELECT k, t, n * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY k)) AS w FROM tf JOIN idf USING (t)),
+ps AS (SELECT r, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{SPEAKS}'))
+  || list_filter(regexp_split_to_array(regexp_replace(text, '(?m)^[ \\t]*(?:[#*;%]+|//+|/\\*+|--+|\\*/)?[ \\t]*', '', 'g'), '\\n\\s*\\n'), lambda x: contains(x, chr(10)) AND regexp_matches(x, '{SPEAKS}'))
+  || CASE WHEN regexp_matches(path, '{LICENCE_FILE}') THEN [text] ELSE [] END) AS p FROM f),
+pt AS (SELECT row_number() OVER () AS q, r, {words("p")} AS w FROM ps),
+pc AS (SELECT q, t, count(*) AS n FROM (SELECT q, unnest(w) AS t FROM pt) JOIN voc USING (t) GROUP BY q, t),
+pn AS (SELECT q, sqrt(sum(pc.n * idf.w * pc.n * idf.w) + any_value(len(pt.w)) - sum(pc.n)) AS norm, any_value(r) AS r FROM pc JOIN idf USING (t) JOIN pt USING (q) GROUP BY q),
+cs AS (SELECT q, k, sum(pc.n * idf.w * tw.w) AS dot FROM pc JOIN idf USING (t) JOIN tw USING (t) GROUP BY q, k),
+best AS (SELECT r, dot / norm AS cosine, name FROM cs JOIN pn USING (q) JOIN names USING (k) QUALIFY row_number() OVER (PARTITION BY r ORDER BY round(dot / norm, 12) DESC, k) = 1),
+own AS MATERIALIZED (SELECT f.*, CASE WHEN cosine >= {least} THEN name END AS own_license, CASE WHEN cosine >= {least} THEN round(cosine, 6) END AS own_score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f LEFT JOIN best USING (r)),
+lic AS (SELECT dir AS place, own_license AS dir_license FROM own WHERE own_license IS NOT NULL AND regexp_matches(path, '{LICENCE_FILE}') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path, own_license) = 1),
+up AS (SELECT dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda n: array_to_string(string_split(dir, '/')[1:n], '/'))) AS place FROM (SELECT DISTINCT dir FROM own)),
+near AS (SELECT dir, arg_max(place, length(place)) AS licensed_dir, arg_max(dir_license, length(place)) AS dir_license FROM up JOIN lic USING (place) GROUP BY dir)
+SELECT doc_id, path, own_license, own_score, licensed_dir, coalesce(own_license, dir_license) AS license FROM own LEFT JOIN near USING (dir)
+"""
