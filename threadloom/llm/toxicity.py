@@ -43,7 +43,7 @@ FIT_ROWS = 20_000
 #: Lexicon voters at most, rows of its class that a term must mark, and how many terms may come in by chance.
 MOST_TERMS, LEAST_ROWS, CHANCE_TERMS = 400, 3, 5
 #: The least part of the rows of a term for toxic that are toxic, and of one that counts as a hit.
-LEAST_PART, STRONG_PART = 0.5, 0.8
+LEAST_PART, STRONG_PART = 0.5, 0.7
 #: Terms whose neighbours are counted, those that say most.
 MOST_TRIED = 40_000
 BEGINNINGS = tuple(range(4, 11))
