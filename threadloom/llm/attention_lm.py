@@ -609,7 +609,6 @@ class Scorer:
         logs, more = np.zeros(size), np.zeros(size)
         starts, ends = s.windows(STRIDE)
         opens = np.concatenate(([True], ends[1:] != ends[:-1])) if len(ends) else np.empty(0, bool)
-        inside = np.logaddexp(s.inner, np.log(np.maximum(s.counted, 1e-300, dtype=np.float64)))
         for kind, skip in ((opens, 0), (~opens, WINDOW - STRIDE)):  # the first goals of a further window were scored in the one before
             own = np.flatnonzero(kind)
             for c in range(0, len(own), self.chunk):
@@ -622,11 +621,16 @@ class Scorer:
                 g /= g.sum(1, keepdims=True)
                 copied = _copied(a, b)
                 b.e[:, COPY] = np.einsum("bii->bi", a[:, :, skip:]).ravel() * b.own
-                first = np.einsum("nk,nk->n", g, b.e) / s.inside[goal].ravel()  # probability of the row of the first symbol
+                spelled, copied = np.einsum("nk,nk->n", g, b.e), g[:, COPY] * copied
                 new = b.real.ravel()
-                place, first = goal.ravel()[new], first[new].astype(np.float64)
-                logs[place] = np.logaddexp(inside[place] + np.log(first), np.log(np.maximum((g[:, COPY] * copied)[new].astype(np.float64), 1e-300)))
+                place, spelled, copied = goal.ravel()[new], spelled[new], copied[new]
+                first = spelled / s.inside[place]  # probability of the row of the first symbol
+                logs[place] = np.log(spelled + copied)
                 more[place] = first * s.unit[place]
+                long = np.flatnonzero((s.inner[place] < -57.0) & (s.counted[place] == 0))  # a long word's spelling is too small for a float
+                if len(long):
+                    by = s.inner[place[long]] + np.log(first[long].astype(np.float64))
+                    logs[place[long]] = np.logaddexp(by, np.log(np.maximum(copied[long].astype(np.float64), 1e-300)))
         return logs, more
 
 
