@@ -124,3 +124,46 @@ def test_grid_counts_queries_without_hits(spark):
     x = metrics.sweep_grid(q, h, (4,), (0.5,)).first()
     assert (x["precision"], x["recall"], x["hit_rate"], x["no_answer_leak"], x["critical_hit_rate"]) == (0.5, 1.0, 0.5, 0.0, 1.0)
     assert abs(x["avg_hits"] - 2 / 3) < 1e-12 and metrics.pick_best(metrics.sweep_grid(q, h, (4,), (0.5,))).count() == 1
+
+
+def test_scores_equal_in_six_digits_are_ties(spark):
+    at = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(0, [1.0, 0.0]), (1, at(0.5000001)), (2, at(0.5000003)), (3, at(0.6234564999)), (4, at(-0.2))]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    got = [(x["id"], x["score"]) for x in vectors.top_k(df, df.where("id = 0"), 4, exclude_self=True, digits=6).orderBy("rank").collect()]
+    assert got == [(3, 0.623456), (1, 0.5), (2, 0.5), (4, -0.2)]  # rounded once, and the smaller id first
+    assert [x["id"] for x in vectors.top_k(df, df.where("id = 0"), 4, exclude_self=True).orderBy("rank").collect()] == [3, 2, 1, 4]
+
+
+def test_vector_queries_rank_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    from threadloom.plans import registry
+
+    # all cosines to vector 0 tie in six digits, the largest last; the smallest id alone has the label of vector 0
+    rows = [(0, [1.0, 0.0], "x")] + [(k, [0.9 + k * 1e-8, (1 - (0.9 + k * 1e-8) ** 2) ** 0.5], "x" if k == 1 else "y") for k in range(1, 31)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("sweep_grid", "cosine_topk", "search_threshold"):
+        want = con.execute(registry.oracle_sql()[name])
+        names = [d[0] for d in want.description]
+        values = lambda rows: sorted(repr([None if v is None else round(float(v), 9) for v in r]) for r in rows)
+        assert values([[r[n] for n in names] for r in registry.queries()[name](spark, str(tmp_path)).collect()]) == values(want.fetchall()), name
+
+
+def test_grid_means_do_not_depend_on_the_order_of_rows(spark):
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(4)
+    hits = [(q, r, 0.9 if r <= rng.randint(1, 20) else 0.1, rng.random() < 0.4) for q in range(700) for r in range(1, 21)]
+    asked = spark.createDataFrame([(q, "critical", None) for q in range(700)], "query_id long, category string, subtype string")
+    of = {q: [h for h in hits if h[0] == q] for q in range(700)}
+    counts = [(sum(h[2] >= 0.5 for h in hs), sum(h[3] for h in hs), sum(h[3] and h[2] >= 0.5 for h in hs)) for hs in of.values()]
+    mean = lambda pairs: float(sum(Fraction(a, b) for a, b in pairs if b) / sum(b > 0 for _, b in pairs))
+    want = (mean([(g, k) for k, _, g in counts]), mean([(g, r) for _, r, g in counts]))
+    for parts in (1, 7):
+        rng.shuffle(hits)
+        x = metrics.sweep_grid(asked.repartition(parts), spark.createDataFrame(hits, "query_id long, rank int, score double, relevant boolean"), (20,), (0.5,)).first()
+        assert (x["precision"], x["recall"]) == want

@@ -40,10 +40,12 @@ def sweep_grid(queries: DataFrame, hits: DataFrame, ks: tuple = KS, thresholds:
         n(lambda h: (h["rank"] <= F.col("k")) & (h["score"] >= F.col("threshold")) & h["relevant"]).alias("good"),
     )
     some = (F.col("good") > 0).cast("double")
+    # decimals add up alike in any order, so that a metric doesn't depend on how rows were dealt
+    mean = lambda part, of: F.try_divide(F.sum(F.when(of > 0, part / of).cast("decimal(30,18)")).cast("double"), F.sum((of > 0).cast("long")))
     unanswerable, critical = F.col("category") == "no_answer", (F.col("category") == "critical") & ~F.col("subtype").eqNullSafe("scope_leakage")
     out = rows.groupBy("k", "threshold").agg(
-        F.avg(F.when(F.col("kept") > 0, F.col("good") / F.col("kept"))).alias("precision"),
-        F.avg(F.when(F.col("relevant") > 0, F.col("good") / F.col("relevant"))).alias("recall"),
+        mean(F.col("good"), F.col("kept")).alias("precision"),
+        mean(F.col("good"), F.col("relevant")).alias("recall"),
         F.avg(F.when(~unanswerable, some)).alias("hit_rate"),
         F.avg("kept").alias("avg_hits"),
         F.avg(F.when(unanswerable, some)).alias("no_answer_leak"),

@@ -36,10 +36,14 @@ def _unit(rows) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | None = None, exclude_self: bool = False) -> DataFrame:
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    return np.trunc(x * 10.0**digits + np.copysign(0.5, x)) / 10.0**digits
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | None = None, exclude_self: bool = False, digits: int = 9) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` nearest vectors of each query, then those with at least ``least``.
 
-    Ties go to the smaller id. Each batch of vectors keeps its own best ``k``, so the ranking shuffles little. Of several blocks of
+    Scores are rounded once, to ``digits``, halves away from zero; those that are equal then are ties, which go to the smaller id. Each batch of vectors keeps its own best ``k``, so the ranking shuffles little. Of several blocks of
     queries one is sent at a time, and its result written before the next.
     """
     total = queries.count()
@@ -61,7 +65,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 6, least: float | Non
                 if not batch.num_rows:
                     continue
                 own = np.array(batch.column("id").to_pylist())
-                scores = np.round(q @ _unit(batch.column("embedding")).T, 9)
+                scores = _rounded(q @ _unit(batch.column("embedding")).T, digits)
                 found = []
                 for i, s in enumerate(scores):
                     good = np.flatnonzero(own != ids[i]) if exclude_self else np.arange(len(own))

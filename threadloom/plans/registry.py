@@ -321,13 +321,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 @query("WITH " + _S + " SELECT query_id, rank, score FROM k WHERE rank <= 6")
 def cosine_topk(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return vectors.top_k(rows, rows.where("id % 20 = 0"), 6, exclude_self=True).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    return vectors.top_k(rows, rows.where("id % 20 = 0"), 6, exclude_self=True, digits=6).select("query_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 @query("WITH " + _S + " SELECT query_id, rank, score FROM k WHERE rank <= 6 AND score >= 0.3")
 def search_threshold(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return vectors.top_k(rows, rows.where("id % 20 = 0"), 6, 0.2999995, exclude_self=True).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+    return vectors.top_k(rows, rows.where("id % 20 = 0"), 6, 0.2999995, exclude_self=True, digits=6).select("query_id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
 _P = "p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4)"
@@ -368,8 +368,8 @@ def _hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     asked = rows.where("id % 20 = 0")
     category = F.element_at(F.array(*map(F.lit, ("one_answer", "critical", "multi_source", "no_answer"))), ((F.expr("id div 20") % 4) + 1).cast("int"))
     queries_ = asked.select(F.col("id").alias("query_id"), category.alias("category"), F.when(F.col("id") % 60 == 0, "scope_leakage").alias("subtype"), F.col("label").alias("_l"))
-    found = vectors.top_k(rows, asked, 20, exclude_self=True).join(rows.select("id", "label"), "id").join(queries_.select("query_id", "_l"), "query_id")
-    return queries_.drop("_l"), found.select("query_id", "rank", F.round("score", 6).alias("score"), (F.col("label") == F.col("_l")).alias("relevant"))
+    found = vectors.top_k(rows, asked, 20, exclude_self=True, digits=6).join(rows.select("id", "label"), "id").join(queries_.select("query_id", "_l"), "query_id")
+    return queries_.drop("_l"), found.select("query_id", "rank", "score", (F.col("label") == F.col("_l")).alias("relevant"))
 
 
 _G = _S + """, qs AS (SELECT query_id, CASE (query_id // 20) % 4 WHEN 0 THEN 'one_answer' WHEN 1 THEN 'critical' WHEN 2 THEN 'multi_source' ELSE 'no_answer' END AS category, CASE WHEN query_id % 60 = 0 THEN 'scope_leakage' END AS subtype FROM q),
