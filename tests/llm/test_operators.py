@@ -669,6 +669,45 @@ def test_copies_of_a_toxic_text_prove_no_terms(spark):
     assert toxicity._apart(120, 6) < 1 and toxicity._apart(40, 40) == 40 and toxicity._apart(0, 0) == 0
 
 
+def test_neighbours_make_no_more_rows_for_more_copies(spark, monkeypatch):
+    real, made = toxicity.map_arrow, []
+
+    def counted(df, fn, schema):
+        total = spark.sparkContext.accumulator(0)
+        made.append(total)
+
+        def run(batches):
+            for batch in fn(batches):
+                total.add(batch.num_rows)
+                yield batch
+
+        return real(df, run, schema)
+
+    monkeypatch.setattr(toxicity, "map_arrow", counted)
+    spelled = lambda t: "".join(chr(97 + int(c)) if c.isdigit() else c for c in t)
+    text = spelled(prose(60, 8000)).split()
+    terms = sorted({t for w in text for t in letter_terms(w)})
+    others = [(spelled(prose(20, 8100 + k)), k % 2) for k in range(20)] + [(None, 0), ("", 1), (" ".join(text[:30]), 0)]
+    for copies in (20, 200):
+        near = [" ".join([*text[: k % 10], f"odd{chr(97 + k % 10)}", *text[k % 10 + 1 :]]) for k in range(copies)]  # one of ten places differs
+        rows = [(" ".join(text), 1)] * copies + [(t, 1) for t in near] + others
+        got = toxicity.neighbours(spark.createDataFrame(rows, "text string, toxic int").coalesce(1), terms)
+        want: dict = {}
+        for t, y in set(rows):
+            words = (t or "").split()
+            digest = [xxhash.xxh64_intdigest(w) for w in words]
+            least: dict = {}
+            for k, w in enumerate(words):
+                pair = np.array([digest[k - 1] if k else 0, digest[k + 1] if k + 1 < len(words) else 0], np.uint64)
+                around = int(toxicity.mix64(pair[:1] ^ toxicity.mix64(pair[1:])).view(np.int64)[0])
+                for name in letter_terms(w):
+                    least[name] = min(around, least.get(name, around))
+            for name in least.keys() & set(terms):
+                want.setdefault((name, y), set()).add(least[name])
+        assert got == {k: len(v) for k, v in want.items()}
+        assert made[-1].value == sum(got.values())  # one task, one batch
+
+
 def test_toxicity_edges(spark):
     rows, labels = [], []
     for k in range(600):

@@ -190,7 +190,11 @@ def neighbours(sample: DataFrame, terms: list[str]) -> dict[tuple[str, int], int
                     name, places = name[order], places[order]
                     first = np.concatenate(([True], (name[1:] != name[:-1]) | (of[places][1:] != of[places][:-1])))[: len(name)]
                     name, places = name[first], places[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int32)), pa.array(toxic[of[places]]), pa.array(around[places])], ["name", "toxic", "around"])
+                    label, pair = toxic[of[places]], around[places]
+                    order = np.lexsort((pair, label, name))  # texts of the batch that agree in a term's neighbours make one row
+                    name, label, pair = name[order], label[order], pair[order]
+                    first = np.concatenate(([True], (name[1:] != name[:-1]) | (label[1:] != label[:-1]) | (pair[1:] != pair[:-1])))[: len(name)]
+                    yield pa.RecordBatch.from_arrays([pa.array(name[first].astype(np.int32)), pa.array(label[first]), pa.array(pair[first])], ["name", "toxic", "around"])
 
     found = sample.select("text", "toxic").transform(map_arrow, run, "name int, toxic int, around bigint").distinct().groupBy("name", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     return {(votes.names[x["name"]], x["toxic"]): x["n"] for x in found}
